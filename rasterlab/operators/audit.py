@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from rasterlab import params as P
 from rasterlab.operators.ordered import quantiles
@@ -74,7 +75,7 @@ def robust_z(long: DataFrame, id_: str, feature="feature", value="value", limit:
         F.count_if(F.col("_z") > limit).alias(f"n_feat_z_gt{limit:g}"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sq_distance(x: pd.Series, mean: pd.Series, inv: pd.Series) -> pd.Series:
     """Squared Mahalanobis distance of each row's array."""
     if not len(x):
@@ -100,7 +101,7 @@ def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0
         mean, inv, det = _mean_inverse(kept)
         dist = base.withColumn("d2", _sq_distance("x", F.lit(mean), F.lit(inv)))
         cut = quantiles(dist, [], "d2", {"cut": support}).first()["cut"]
-        if last is not None and det >= last - 1e-12:
+        if last is not None and det >= last - 1e-4:
             break
         last = det
         kept = dist.where(F.col("d2") <= cut)

@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from rasterlab import params as P
 
@@ -63,7 +64,7 @@ def t_two_sided(t: float, df: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, folds: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, n - 1) for a, n in zip(t, folds)])
 
