@@ -119,7 +119,7 @@ def _margin(c: float) -> Fit:
     def fit(train, seed):
         reg = 1.0 / (c * train.count())
         model = Pipeline(stages=[_scale(), LinearSVC(featuresCol="scaled", labelCol="y", regParam=reg,
-                                                     standardization=False)]).fit(train)
+                                                     standardization=False, maxIter=50, tol=1e-3)]).fit(train)
 
         def score(df):
             return model.transform(df).select(*df.columns, vector_to_array("rawPrediction")[1].alias("score"))

@@ -132,11 +132,14 @@ def scalar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).select("image_id", "class", "embedding", F.posexplode("embedding").alias("pos", "_v"))
-
-    def channel(shift):
-        v = F.col("embedding")[(F.col("pos") + shift) % 64].cast("double")
-        return (F.floor(F.abs(v * 1000)).cast("int") % 256)
+    """Each exploded element carries its three channels, so the frame's array
+    is not copied into its pixel rows."""
+    cell = F.transform("embedding", lambda v, i: F.struct(
+        v.alias("a"), F.col("embedding")[(i + 21) % 64].alias("b"), F.col("embedding")[(i + 42) % 64].alias("c")))
+    f = frames(spark, sf_dir).select("image_id", "class", F.posexplode(cell).alias("pos", "_v"))
+
+    def channel(name):
+        return F.floor(F.abs(F.col(f"_v.{name}").cast("double") * 1000)).cast("int") % 256
     return f.select("image_id", "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
                     F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"),
-                    channel(0).alias("r"), channel(21).alias("g"), channel(42).alias("b"))
+                    channel("a").alias("r"), channel("b").alias("g"), channel("c").alias("b"))
