@@ -444,26 +444,27 @@ def evaluate(df: DataFrame, methods: list[Method], repeats: int = 5, k: int = P.
              group: str = "id", sink: str | None = None, parallelism: int = 4) -> DataFrame:
     """(name, repeat, fold, id, y, score, threshold) for every held-out row.
 
-    With ``sink`` each finished fit appends its rows there, so an interrupted
-    run keeps what it has. Fits run side by side from a few driver threads.
+    With ``sink`` each finished fit leaves its rows in a folder of its own
+    there, so an interrupted run keeps what it has and fits that run side by
+    side do not share an output.
     """
     split = with_folds(df, seed, k, repeats, group)
 
     def run(job):
-        m, r, f = job
+        (i, m), r, f = job
         here = split.where(F.col("repeat") == r)
         scorer, thr = m.fit(here.where(F.col("fold") != f).drop("repeat", "fold"), seed + r)
         out = scorer(here.where(F.col("fold") == f).drop("repeat", "fold")).select(
             F.lit(m.name).alias("name"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "id", "y", "score",
             F.lit(float(thr)).alias("threshold"))
         if sink:
-            out.write.mode("append").parquet(sink)
+            out.write.mode("overwrite").parquet(f"{sink}/method={i}/repeat={r}/fold={f}")
         return out
-    jobs = list(product(methods, range(repeats), range(k)))
+    jobs = list(product(enumerate(methods), range(repeats), range(k)))
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(run, jobs))
     if sink:
-        return df.sparkSession.read.schema(parts[0].schema).parquet(sink)
+        return df.sparkSession.read.schema(parts[0].schema).option("recursiveFileLookup", True).parquet(sink)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
