@@ -47,11 +47,14 @@ def base_feature(name: Column) -> Column:
     return F.regexp_replace(name, "_viewmean|_viewmax", "")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text, rounding the exact binary value half to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def span_text(value: Column, span: Column) -> Column:
     """Fixed-point text with more digits the tighter the range is."""
-    return (F.when(span >= 0.05, F.format_string("%.2f", value))
-            .when(span >= 0.005, F.format_string("%.3f", value))
-            .otherwise(F.format_string("%.4f", value)))
+    return (F.when(span >= 0.05, fixed(value, 2)).when(span >= 0.005, fixed(value, 3)).otherwise(fixed(value, 4)))
 
 
 def balance_band(ratio: Column) -> Column:

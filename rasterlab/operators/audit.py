@@ -61,18 +61,24 @@ def robust_scale(long: DataFrame, keys=("feature",), value="value", **kw) -> Dat
         *keys, "med", (F.col("mad") * P.MAD_SCALE).alias("robust_sd"))
 
 
-def robust_z(long: DataFrame, id_: str, feature="feature", value="value", limit: float = 5.0,
-             order: str | None = None, **kw) -> DataFrame:
-    """Per row: largest robust z, the feature it came from, how many exceed
-    ``limit``. ``order`` names a column that breaks ties, lowest first."""
-    scale = robust_scale(long, [feature], value, **kw)
-    z = F.when(F.col("robust_sd") > 0, F.abs(F.col(value) - F.col("med")) / F.col("robust_sd"))
-    tie = -F.col(order) if order else F.lit(0)
-    scored = long.join(F.broadcast(scale), feature).withColumn("_z", z)
-    return scored.groupBy(id_).agg(
-        F.max("_z").alias("max_robust_z"),
-        F.max_by(F.col(feature), F.struct(F.coalesce("_z", F.lit(0.0)), tie)).alias("worst_feature"),
-        F.count_if(F.col("_z") > limit).alias(f"n_feat_z_gt{limit:g}"))
+def robust_z(df: DataFrame, id_: str, cols: list[str], limit: float = 5.0, **kw) -> DataFrame:
+    """Per row: largest robust z, the feature it came from (the first one on
+    ties), how many exceed ``limit``.
+
+    The scales are one pair per column; with them the rows are judged in
+    place, without grouping.
+    """
+    scale = {r["feature"]: r for r in robust_scale(long_form(df, [], cols), ["feature"], **kw).collect()}
+    zs = []
+    for c in cols:
+        s = scale.get(c)
+        live = s is not None and s["robust_sd"] > 0
+        zs.append(F.abs(F.col(f"`{c}`") - s["med"]) / s["robust_sd"] if live else F.lit(None).cast("double"))
+    each = F.array(*[F.struct(F.coalesce(z, F.lit(0.0)).alias("z"), F.lit(-i).alias("i"), F.lit(c).alias("f"))
+                     for i, (c, z) in enumerate(zip(cols, zs))])
+    return df.select(id_, F.array_max(F.array(*zs)).alias("max_robust_z"),
+                     F.array_max(each)["f"].alias("worst_feature"),
+                     F.size(F.filter(F.array(*zs), lambda z: z > limit)).cast("bigint").alias(f"n_feat_z_gt{limit:g}"))
 
 
 @F.pandas_udf(DoubleType())

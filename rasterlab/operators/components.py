@@ -150,9 +150,38 @@ def run_pixels(runs: DataFrame) -> DataFrame:
 
 
 def marked(pixels: DataFrame, runs: DataFrame, out: str) -> DataFrame:
-    """Dense pixels with a flag for those inside the given runs."""
+    """Dense pixels with a flag for those inside the given runs.
+
+    The masked pixels are the side that is hashed; the dense side is not
+    sorted.
+    """
     hit = run_pixels(runs.select("image_id", "y", "x0", "x1")).withColumn(out, F.lit(True))
-    return pixels.join(hit, ["image_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return pixels.join(hit.hint("shuffle_hash"), ["image_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def grown_runs(runs: DataFrame, n: int) -> DataFrame:
+    """Runs of every pixel within city-block distance ``n`` of the given ones;
+    they may overlap and reach beyond the frame."""
+    dy = F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("_dy")
+    reach = F.lit(n) - F.abs("_dy")
+    return runs.select("image_id", "y", "x0", "x1", dy).select(
+        "image_id", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x0") - reach).alias("x0"),
+        (F.col("x1") + reach).alias("x1"))
+
+
+def outside(pixels: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pixels that no run covers.
+
+    Along a row, a pixel is covered when some run that starts at or before it
+    reaches it, so one sweep over both in order of x decides; pixels and runs
+    are never paired.
+    """
+    a = pixels.select("image_id", "y", F.col("x").alias("_at"), F.lit(1).alias("_px"), F.lit(None).cast("int").alias("_to"))
+    b = runs.select("image_id", "y", F.col("x0").alias("_at"), F.lit(0).alias("_px"), F.col("x1").alias("_to"))
+    w = (Window.partitionBy("image_id", "y").orderBy("_at", "_px").rowsBetween(Window.unboundedPreceding, 0))
+    swept = a.unionByName(b).withColumn("_reach", F.max("_to").over(w))
+    free = (F.col("_px") == 1) & ~F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False))
+    return swept.where(free).select("image_id", "y", F.col("_at").alias("x"))
 
 
 def holding(labelled: DataFrame, flag: str) -> DataFrame:

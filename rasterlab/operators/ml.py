@@ -435,11 +435,20 @@ def inner_scores(train: DataFrame, options, seed: int, metric: str, k: int) -> l
 
 def with_folds(df: DataFrame, seed: int = P.SEED, k: int = P.OUTER_SPLITS, repeats: int = 5,
                group: str = "id") -> DataFrame:
-    """Rows once per repeat with their fold; every method shares these splits."""
-    folds = B.group_folds(df, group, "y", seed, k, repeats).drop("label")
+    """Rows with ``folds``, their fold in each repeat; every method shares
+    these splits. A row is stored once, however many repeats there are."""
+    each = B.group_folds(df, group, "y", seed, k, repeats)
+    folds = each.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("repeat", "fold"))).alias("_f")).select(
+        group, F.transform("_f", lambda f: f["fold"]).alias("folds"))
     return cut_lineage(df.join(folds, group))
 
 
+def split(rows: DataFrame, repeat: int, fold: int) -> tuple[DataFrame, DataFrame]:
+    """(training rows, held-out rows) of one fold."""
+    at = F.col("folds")[repeat]
+    return rows.where(at != fold).drop("folds"), rows.where(at == fold).drop("folds")
+
+
 def evaluate(df: DataFrame, methods: list[Method], repeats: int = 5, k: int = P.OUTER_SPLITS, seed: int = P.SEED,
              group: str = "id", sink: str | None = None, parallelism: int = 4) -> DataFrame:
     """(name, repeat, fold, id, y, score, threshold) for every held-out row.
@@ -448,13 +457,13 @@ def evaluate(df: DataFrame, methods: list[Method], repeats: int = 5, k: int = P.
     there, so an interrupted run keeps what it has and fits that run side by
     side do not share an output.
     """
-    split = with_folds(df, seed, k, repeats, group)
+    rows = with_folds(df, seed, k, repeats, group)
 
     def run(job):
         (i, m), r, f = job
-        here = split.where(F.col("repeat") == r)
-        scorer, thr = m.fit(here.where(F.col("fold") != f).drop("repeat", "fold"), seed + r)
-        out = scorer(here.where(F.col("fold") == f).drop("repeat", "fold")).select(
+        train, held = split(rows, r, f)
+        scorer, thr = m.fit(train, seed + r)
+        out = scorer(held).select(
             F.lit(m.name).alias("name"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "id", "y", "score",
             F.lit(float(thr)).alias("threshold"))
         if sink:
@@ -479,11 +488,10 @@ def compared(scored: DataFrame, by: str = "kappa") -> DataFrame:
 def nested_cv(df: DataFrame, options: list[tuple[str, Fit]], k: int = P.OUTER_SPLITS,
               inner: int = P.INNER_SPLITS, seed: int = P.SEED, group: str = "id") -> tuple[DataFrame, DataFrame]:
     """(fold report, out-of-fold rows): the option is chosen inside each fold."""
-    split = with_folds(df, seed, k, 1, group)
+    folded = with_folds(df, seed, k, 1, group)
     rows, parts = [], []
     for f in range(k):
-        train = split.where(F.col("fold") != f).drop("repeat", "fold")
-        test = split.where(F.col("fold") == f).drop("repeat", "fold")
+        train, test = split(folded, 0, f)
         scores = inner_scores(train, options, seed, "accuracy", inner)
         best = max(range(len(options)), key=lambda i: (scores[i], -i))
         scorer, thr = options[best][1](train, seed)

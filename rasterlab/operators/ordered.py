@@ -3,33 +3,34 @@
 A running total down a sorted column needs a global order. Small keys use one
 window. Larger ones are cut at value bounds into (key, bucket) parts: each part
 runs its own window and adds the totals of the parts before it. Bounds are
-sketched once and collected - a few thousand doubles per key - so every use of
-the plan sees the same cuts. Keys here are features, methods or folds, so their
-number is bounded by the schema or the protocol.
+sketched once and materialised, so every use of the plan sees the same cuts.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BUCKET = 500_000
+from rasterlab.session import BROADCAST_ROWS_MAX, cut_lineage
+
+ROWS_PER_BUCKET = 1_000_000
 BUCKETS_MAX = 4096
 
 
 def with_buckets(df: DataFrame, keys: list[str], value: str,
-                 rows_per_bucket: int | None = None) -> DataFrame:
-    """Add ``_bucket``: the number of value bounds strictly below ``value``.
+                 rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
+    """(rows with ``_bucket``, keys x buckets).
 
-    Left out when no key has more than ``rows_per_bucket`` rows.
+    ``_bucket`` is the number of value bounds strictly below ``value``. It is
+    left out, with a count of 0, when no key has more than ``rows_per_bucket``
+    rows. The count is the size of any per-bucket table, so callers know
+    whether to broadcast one.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    sizes = df.groupBy(*keys).count().collect()
-    n = max((r["count"] for r in sizes), default=0)
-    buckets = min(BUCKETS_MAX, -(-n // rows_per_bucket))
+    size = df.groupBy(*keys).count().agg(F.max("count").alias("n"), F.count(F.lit(1)).alias("keys")).first()
+    buckets = min(BUCKETS_MAX, -(-(size["n"] or 0) // rows_per_bucket))
     if buckets <= 1:
-        return df
+        return df, 0
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = (df.groupBy(*keys)
-            .agg(F.array_distinct(F.percentile_approx(F.col(value), probs, 20 * buckets)).alias("_cuts")))
-    bounds = cuts.collect()
+    cuts = cut_lineage(df.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(F.col(value), probs, 20 * buckets)).alias("_cuts")))
     steps, s = [], 1
     while s < buckets:
         steps, s = [s] + steps, s * 2
@@ -39,12 +40,15 @@ def with_buckets(df: DataFrame, keys: list[str], value: str,
         lambda at, step: F.when(F.coalesce(F.get(F.col("_cuts"), at + step - 1) < F.col(value), F.lit(False)),
                                 at + step).otherwise(at))
     if keys:
-        table = df.sparkSession.createDataFrame(bounds, cuts.schema)
-        table = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-        df = df.join(F.broadcast(table), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+        df = df.join(_small(cuts, size["keys"] * buckets // 100), keys)
     else:
-        df = df.withColumn("_cuts", F.lit(bounds[0]["_cuts"]))
-    return df.withColumn("_bucket", pos).drop("_cuts", *[f"_k_{k}" for k in keys])
+        df = df.withColumn("_cuts", F.lit(cuts.first()["_cuts"]))
+    return df.withColumn("_bucket", pos).drop("_cuts"), size["keys"] * buckets
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast when its known size allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS_MAX else df
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column],
@@ -55,9 +59,10 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column],
     ``cum_name`` the running total up to and including it, ``all_name`` the
     total of the key.
     """
-    parts = with_buckets(df, keys, value, rows_per_bucket)
+    df = df.where(_known(keys))
+    parts, size = with_buckets(df, keys, value, rows_per_bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if "_bucket" not in parts.columns:  # counted: every key fits one window
+    if not size:  # counted: every key fits one window
         at = parts.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
         whole = Window.partitionBy(*keys)
         run = whole.orderBy(order)
@@ -73,34 +78,69 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column],
     key_w = Window.partitionBy(*keys)  # at most BUCKETS_MAX rows per key
     before = key_w.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"),
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *keys, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
         *[F.sum(n).over(key_w).alias(f"all_{n}") for n in sums])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_k_bucket")]
     local = at.select("*", *[F.sum(n).over(inside).alias(f"_run_{n}") for n in sums])
-    out = local.join(F.broadcast(offsets), cond)
+    out = local.join(_small(offsets, size), [*keys, "_bucket"])
     return out.select(*keys, value, *sums,
                       *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums],
                       *[f"all_{n}" for n in sums])
 
 
+def _known(keys: list[str]) -> Column:
+    """Rows whose keys are all known; others belong to no group here."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return cond
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
               rows_per_bucket: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, one column per name."""
-    run = running(df.where(F.col(value).isNotNull()), keys, value, {"n": F.count(F.lit(1))},
-                  rows_per_bucket=rows_per_bucket)
+    """Exact linearly interpolated quantiles per key, one column per name.
+
+    For large keys the bucket totals tell which buckets hold the wanted ranks,
+    and only the rows of those buckets are sorted.
+    """
+    df = df.select(*keys, value).where(F.col(value).isNotNull() & _known(keys))
+    parts, size = with_buckets(df, keys, value, rows_per_bucket)
+    if size:
+        totals = parts.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        key_w = Window.partitionBy(*keys)  # at most BUCKETS_MAX rows per key
+        before = key_w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*keys, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                               F.sum("_n").over(key_w).alias("all_n"))
+        wanted = F.lit(False)
+        for p in probs.values():
+            for rank in _ranks(p)[:2]:
+                wanted = wanted | ((F.col("_off") <= rank) & (rank < F.col("_off") + F.col("_n")))
+        hit = totals.where(wanted).select(*keys, "_bucket", "_off", "all_n")
+        at = parts.join(_small(hit, size), [*keys, "_bucket"]).groupBy(*keys, "_bucket", value).agg(
+            F.count(F.lit(1)).alias("n"), F.max("_off").alias("_off"), F.max("all_n").alias("all_n"))
+        inside = (Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        run = at.withColumn("cum_n", F.sum("n").over(inside) + F.col("_off"))
+    else:
+        at = parts.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy(*keys).orderBy(value)
+        run = at.select("*", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_n"),
+                        F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_n"))
     first = F.col("cum_n") - F.col("n")
     out = []
     for name, p in probs.items():
-        rank = (F.col("all_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(rank), F.ceil(rank)
+        lo, hi, frac = _ranks(p)
         at_lo = F.max(F.when((first <= lo) & (lo < F.col("cum_n")), F.col(value)))
         at_hi = F.max(F.when((first <= hi) & (hi < F.col("cum_n")), F.col(value)))
-        frac = F.max(rank - F.floor(rank))
-        out.append((at_lo + (at_hi - at_lo) * frac).alias(name))
+        out.append((at_lo + (at_hi - at_lo) * F.max(frac)).alias(name))
     return run.groupBy(*keys).agg(*out)
 
 
+def _ranks(p: float):
+    """Zero-based ranks around quantile ``p`` of ``all_n`` rows, and the
+    fraction between them."""
+    rank = (F.col("all_n") - 1) * F.lit(float(p))
+    return F.floor(rank), F.ceil(rank), rank - F.floor(rank)
+
+
 def hash_rank(df: DataFrame, keys: list[str], hashed: str, tie: list[str],
               out: str = "rank0", buckets: int = 4096) -> DataFrame:
     """Zero-based position by (hash, tie) within the keys.
@@ -112,11 +152,9 @@ def hash_rank(df: DataFrame, keys: list[str], hashed: str, tie: list[str],
     totals = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*keys).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_k_bucket")]
+    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*keys, "_bucket").orderBy(hashed, *tie)
     return (b.withColumn("_rn", F.row_number().over(w))
-            .join(F.broadcast(offsets), cond)
+            .join(offsets, [*keys, "_bucket"])
             .withColumn(out, F.col("_rn") - 1 + F.col("_off"))
-            .drop("_rn", "_off", "_bucket", "_k_bucket", *[f"_k_{k}" for k in keys]))
+            .drop("_rn", "_off", "_bucket"))

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 from rasterlab import params as P
 from rasterlab.functions import colour as C, scalar as S
 from rasterlab.operators import components as K, raster as R
+from rasterlab.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -51,12 +52,12 @@ def detect_blobs(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame
     base = R.box_means(base, "lum", "roi", {"_fine": p.fine_window, "_coarse": p.coarse_window}, p.edge)
     base = R.residual_mask(base, "lum", "_coarse", "roi", p.coarse_k, p.coarse_floor, "_c")
     base = R.residual_mask(base, "lum", "_fine", "roi", p.fine_k, p.fine_floor, "_f")
-    base = base.select("image_id", "h", "w", "y", "x", "_c", "_f")
-    coarse = K.label_runs(K.mask_runs(base.where("_c")), 4, p.height)
+    # the filters over all pixels run once; what they find is sparse
+    found = cut_lineage(base.where(F.col("_c") | F.col("_f")).select("image_id", "y", "x", "_c", "_f"))
+    coarse = K.label_runs(K.mask_runs(found.where("_c")), 4, p.height)
     large = K.area_filtered(K.blob_table(coarse), p.large_min)
     kept = coarse.join(large.select(*K.LABEL), K.LABEL, "left_semi")
-    near = R.dilated_cross(K.marked(base, kept, "_large"), "_large", p.dilate, "_near")
-    fine = near.where(F.col("_f") & ~F.col("_near"))
+    fine = K.outside(found.where("_f"), K.grown_runs(kept, p.dilate))
     small = K.area_filtered(K.blob_table(K.label_runs(K.mask_runs(fine), 4, p.height)), p.small_min, p.small_max)
     return small, large
 
@@ -112,37 +113,43 @@ def _only(cond, value):
     return F.when(F.col(cond), F.col(value))
 
 
+def _quantile(values: str, p: float):
+    """Interpolated quantile of a sorted array column."""
+    rank = (F.size(values) - 1) * F.lit(float(p))
+    lo, hi = F.get(values, F.floor(rank).cast("int")), F.get(values, F.ceil(rank).cast("int"))
+    return lo + (hi - lo) * (rank - F.floor(rank))
+
+
+def _share(values: str, beyond):
+    return F.try_divide(F.size(F.filter(values, beyond)), F.size(values))
+
+
 def colour_stats(px: DataFrame) -> DataFrame:
     """Colour, brightness, texture, anomaly-area and NDFI features per image.
 
-    The median and the MAD need a pass each; both group by image, as does the
-    final aggregation.
+    One pass over the pixels: the values that need an order are gathered per
+    image - a frame's worth of numbers - and sorted there, so the median, the
+    MAD and the shares beyond it need no second look at the pixels.
     """
-    px = R.laplacian(px, "bright")
-    med = px.groupBy("image_id").agg(F.coalesce(F.percentile(_only("valid", "bright"), 0.5), F.lit(0.0)).alias("_med"))
-    px = px.join(med, "image_id")
-    mad = px.groupBy("image_id").agg(
-        F.coalesce(F.percentile(F.abs(_only("valid", "bright") - F.col("_med")), 0.5), F.lit(0.0)).alias("_mad"))
-    px = px.join(mad, "image_id")
-    spread = F.col("_mad") * P.MAD_SCALE * P.ANOMALY_K
-    high = _only("roi", "bright") > F.col("_med") + spread
-    low = _only("roi", "bright") < F.col("_med") - spread
-    aggs = []
-    for c in "RGB":
-        aggs.append(F.avg(_only("valid", f"lin_{c}")).alias(f"mean_{c}"))
-    for c in "RGB":
-        aggs.append(F.stddev_pop(_only("valid", f"lin_{c}")).alias(f"sd_{c}"))
-    out = px.groupBy("image_id").agg(
+    aggs = [F.avg(_only("valid", f"lin_{c}")).alias(f"mean_{c}") for c in "RGB"]
+    aggs += [F.stddev_pop(_only("valid", f"lin_{c}")).alias(f"sd_{c}") for c in "RGB"]
+    out = R.laplacian(px, "bright").groupBy("image_id").agg(
         *aggs, F.avg(_only("valid", "bright")).alias("brightness_mean"),
         F.stddev_pop(_only("valid", "bright")).alias("brightness_sd"),
-        F.stddev_pop(_only("valid", "lap")).alias("texture"),
-        F.avg(high.cast("double")).alias("A_high"), F.avg(low.cast("double")).alias("A_low"),
-        F.percentile(_only("roi", "bright"), F.array(F.lit(0.95), F.lit(0.05))).alias("_bp"),
-        F.avg(_only("roi", "ndfi")).alias("NDFI_mean"),
-        F.percentile(_only("roi", "ndfi"), F.array(F.lit(0.95), F.lit(0.05))).alias("_np"))
-    out = out.withColumns({"F_p95": F.get("_bp", F.lit(0)), "F_p05": F.get("_bp", F.lit(1)),
-                           "NDFI_p95": F.get("_np", F.lit(0)), "NDFI_p05": F.get("_np", F.lit(1))}).drop("_bp", "_np")
-    return out.select("image_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in out.columns if c != "image_id"])
+        F.stddev_pop(_only("valid", "lap")).alias("texture"), F.avg(_only("roi", "ndfi")).alias("NDFI_mean"),
+        F.sort_array(F.collect_list(_only("valid", "bright"))).alias("_valid"),
+        F.sort_array(F.collect_list(_only("roi", "bright"))).alias("_roi"),
+        F.sort_array(F.collect_list(_only("roi", "ndfi"))).alias("_ndfi"))
+    out = out.withColumn("_med", F.coalesce(_quantile("_valid", 0.5), F.lit(0.0)))
+    out = out.withColumn("_dev", F.sort_array(F.transform("_valid", lambda v: F.abs(v - F.col("_med")))))
+    out = out.withColumn("_spread", F.coalesce(_quantile("_dev", 0.5), F.lit(0.0)) * P.MAD_SCALE * P.ANOMALY_K)
+    out = out.withColumns({
+        "A_high": _share("_roi", lambda v: v > F.col("_med") + F.col("_spread")),
+        "A_low": _share("_roi", lambda v: v < F.col("_med") - F.col("_spread")),
+        "F_p95": _quantile("_roi", 0.95), "F_p05": _quantile("_roi", 0.05),
+        "NDFI_p95": _quantile("_ndfi", 0.95), "NDFI_p05": _quantile("_ndfi", 0.05)})
+    return out.select("image_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in out.columns
+                                    if c != "image_id" and not c.startswith("_")])
 
 
 def view_features(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame, DataFrame]:

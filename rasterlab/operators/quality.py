@@ -91,14 +91,31 @@ def range_check(long: DataFrame, ranges: DataFrame, id_: str, top: int = 3,
         "n_outliers", F.concat_ws("; ", F.transform(F.slice("_w", 1, top), lambda s: s["t"])).alias("detail"))
 
 
-def range_status(features: Column, ranges: dict[str, tuple[float, float]],
+def range_report(values: dict[str, Column], ranges: dict[str, tuple[float, float]], top: int = 3,
                  tolerance: float = P.RANGE_TOLERANCE) -> Column:
-    """The same check on one row's feature map, with the ranges as literals."""
+    """struct(status, n_outliers, detail) of one wide row.
+
+    A model's ranges are as many as its features, so they go into the
+    expression as literals: no join, no grouping.
+    """
     if not ranges:
-        return F.lit("unknown")
-    hits = [F.coalesce(range_excess(features[n], F.lit(float(lo)), F.lit(float(hi)), tolerance).isNotNull().cast("int"),
-                       F.lit(0)) for n, (lo, hi) in ranges.items()]
-    return F.when(sum(hits[1:], hits[0]) > 0, "out_of_range").otherwise("in_range")
+        return F.struct(F.lit("unknown").alias("status"), F.lit(0).alias("n_outliers"), F.lit("").alias("detail"))
+    cells = []
+    for n, (lo, hi) in ranges.items():
+        v = values[n]
+        ex = range_excess(v, F.lit(float(lo)), F.lit(float(hi)), tolerance)
+        text = F.concat(F.lit(f"{n}="), span_text(v, F.lit(abs(float(hi) - float(lo)))))
+        cells.append(F.when(ex.isNotNull(), F.struct((-ex).alias("ex"), F.lit(n).alias("f"), text.alias("t"))))
+    worst = F.sort_array(F.array_compact(F.array(*cells)))
+    return F.struct(F.when(F.size(worst) > 0, "out_of_range").otherwise("in_range").alias("status"),
+                    F.size(worst).alias("n_outliers"),
+                    F.concat_ws("; ", F.transform(F.slice(worst, 1, top), lambda s: s["t"])).alias("detail"))
+
+
+def range_status(features: Column, ranges: dict[str, tuple[float, float]],
+                 tolerance: float = P.RANGE_TOLERANCE) -> Column:
+    """The status alone, of one row's feature map."""
+    return range_report({n: features[n] for n in ranges}, ranges, tolerance=tolerance)["status"]
 
 
 def view_aggregates(views: DataFrame, head: str, features: list[str], plain: bool = False) -> DataFrame:

@@ -150,20 +150,36 @@ def dilated_cross(df: DataFrame, mask: str, n: int, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.least(up, down) <= n, F.lit(False))).drop("_d")
 
 
+def _border_times(frac: float) -> Column:
+    """In how many of the four border strips a pixel lies."""
+    bh = F.greatest(F.lit(1), F.floor(F.col("h") * frac).cast("int"))
+    bw = F.greatest(F.lit(1), F.floor(F.col("w") * frac).cast("int"))
+    strips = [F.col("y") < bh, F.col("y") >= F.col("h") - bh, F.col("x") < bw, F.col("x") >= F.col("w") - bw]
+    return sum((c.cast("int") for c in strips[1:]), strips[0].cast("int"))
+
+
 def border_stats(df: DataFrame, values: list[str], frac: float = P.BORDER_FRAC) -> DataFrame:
     """Mean and population SD of the frame's four border strips, per image.
 
     The strips overlap in the corners, so a corner pixel counts twice.
     """
-    bh = F.greatest(F.lit(1), F.floor(F.col("h") * frac).cast("int"))
-    bw = F.greatest(F.lit(1), F.floor(F.col("w") * frac).cast("int"))
-    times = sum(((c).cast("int") for c in (F.col("y") >= F.col("h") - bh, F.col("x") < bw,
-                                           F.col("x") >= F.col("w") - bw)), (F.col("y") < bh).cast("int"))
-    strips = df.select("image_id", *values, F.explode(F.array_repeat(F.lit(1), times)).alias("_one"))
+    strips = df.select("image_id", *values, F.explode(F.array_repeat(F.lit(1), _border_times(frac))).alias("_one"))
     return strips.groupBy("image_id").agg(*[a for v in values for a in (
         F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_sd"))])
 
 
+def with_border_stats(df: DataFrame, values: list[str], frac: float = P.BORDER_FRAC) -> DataFrame:
+    """The same statistics beside every pixel, by windows over the image: no
+    join, and the pixels are computed once."""
+    w = Window.partitionBy("image_id")
+    df = df.withColumn("_times", _border_times(frac))
+    t = F.col("_times")
+    df = df.withColumns({f"{v}_mean": F.sum(F.col(v) * t).over(w) / F.sum(t).over(w) for v in values})
+    dev = {v: (F.col(v) - F.col(f"{v}_mean")) for v in values}
+    df = df.withColumns({f"{v}_sd": F.sqrt(F.sum(d * d * t).over(w) / F.sum(t).over(w)) for v, d in dev.items()})
+    return df.drop("_times")
+
+
 def otsu(df: DataFrame, value: str, min_values: int = P.OTSU_MIN_VALUES) -> DataFrame:
     """(image_id, threshold): the cut of each image's 0-255 histogram with the
     largest between-class variance, the lowest on ties. NULL for images with

@@ -1,6 +1,6 @@
 """Finding the subject in a frame: masks, detection record, framing."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlab import params as P
 from rasterlab.functions import colour as C
@@ -13,19 +13,18 @@ def gray_byte() -> Column:
 
 def uv_mask(px: DataFrame, k: float = P.DETECT_K) -> DataFrame:
     """Red or green clearly above the border of the frame."""
-    s = R.border_stats(px, ["r", "g"])
+    px = R.with_border_stats(px, ["r", "g"])
 
     def above(c):
         return F.col(c) > F.col(f"{c}_mean") + F.greatest(F.col(f"{c}_sd"), F.lit(1.0)) * k
-    return px.join(s, "image_id").withColumn("mask", above("r") | above("g")).drop(*s.columns[1:])
+    return px.withColumn("mask", above("r") | above("g")).drop("r_mean", "r_sd", "g_mean", "g_sd")
 
 
 def visible_mask(px: DataFrame, k: float = P.DETECT_K, floor: float = P.VISIBLE_MIN_ABS_A) -> DataFrame:
     """Redder than the border, on the lightness-free a* axis."""
-    px = px.withColumn("_a", C.lab_a(F.col("r"), F.col("g"), F.col("b")))
-    s = R.border_stats(px, ["_a"])
+    px = R.with_border_stats(px.withColumn("_a", C.lab_a(F.col("r"), F.col("g"), F.col("b"))), ["_a"])
     cut = F.col("_a_mean") + F.greatest(F.col("_a_sd") * k, F.lit(float(floor)))
-    return px.join(s, "image_id").withColumn("mask", F.col("_a") > cut).drop("_a", "_a_mean", "_a_sd")
+    return px.withColumn("mask", F.col("_a") > cut).drop("_a", "_a_mean", "_a_sd")
 
 
 def grown(px: DataFrame, soft: str, seed: str, height: int | None = None) -> DataFrame:
@@ -37,8 +36,7 @@ def grown(px: DataFrame, soft: str, seed: str, height: int | None = None) -> Dat
 def garlic_uv_mask(px: DataFrame, k: float = P.DETECT_K, grow: float = P.GARLIC_GROW,
                    min_values: int = P.OTSU_MIN_VALUES, height: int | None = None) -> DataFrame:
     """Green core by the image's own histogram cut, grown into its dim rim."""
-    s = R.border_stats(px, ["g"])
-    lit = px.join(s, "image_id").withColumn(
+    lit = R.with_border_stats(px, ["g"]).withColumn(
         "_lit", F.col("g") > F.col("g_mean") + F.greatest(F.col("g_sd"), F.lit(1.0)) * k).drop("g_mean", "g_sd")
     cut = R.otsu(lit.where("_lit"), "g", min_values)
     both = lit.join(cut, "image_id", "left").withColumns({
@@ -61,8 +59,8 @@ def garlic_visible_mask(px: DataFrame, window: float = P.GARLIC_WINDOW_FRAC,
     x, y = F.col("x"), F.col("y")
     inside = (y >= F.col("_y0")) & (y < F.col("_y1")) & (x >= F.col("_x0")) & (x < F.col("_x1"))
     px = px.withColumns({"_in": inside, "_lum": gray_byte()})
-    low = px.where("_in").groupBy("image_id").agg(F.min("_lum").alias("_floor"))
-    px = px.join(low, "image_id", "left").withColumn("_lum", F.col("_lum") - F.col("_floor"))
+    low = F.min(F.when(F.col("_in"), F.col("_lum"))).over(Window.partitionBy("image_id"))
+    px = px.withColumn("_floor", low).withColumn("_lum", F.col("_lum") - F.col("_floor"))
     cut = R.otsu(px.where("_in"), "_lum", min_values)
     px = px.join(cut, "image_id", "left")
     bright = F.coalesce(F.col("_in") & (F.col("_lum") > F.col("threshold")), F.lit(False))

@@ -71,7 +71,8 @@ def constant_columns(spark, d):
   SELECT id, {rnd('max(z)')} AS max_robust_z, first(feature ORDER BY coalesce(z, 0) DESC, idx) AS worst_feature,
          count(*) FILTER (z > 2.5) AS "n_feat_z_gt2.5" FROM z GROUP BY id""")
 def robust_z_audit(spark, d):
-    return _round(A.robust_z(X.long_features(spark, d), "id", limit=2.5, order="idx"), "max_robust_z")
+    wide, cols = X.wide_features(spark, d)
+    return _round(A.robust_z(wide, "id", cols, limit=2.5), "max_robust_z")
 
 
 @query("robust_distance")

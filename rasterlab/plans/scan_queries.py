@@ -537,3 +537,20 @@ def framing_warnings(spark, d):
     touches = F.array_compact(F.array(F.when(F.col("k") < 20, "left")))
     return X.scans(spark, d).select("id", F.concat_ws(";", R.framing_warnings(
         F.col("framing_ok"), touches, F.col("k") >= 50, F.col("pred_proba"))).alias("warnings"))
+
+
+@query("range_report", f"""
+  WITH h AS (SELECT head, avg(quantity) AS quantity, max(extendedprice) AS extendedprice FROM {VW} GROUP BY 1),
+  x AS (SELECT head, CASE WHEN quantity > 42.5 THEN (quantity - 40) / 10 WHEN quantity < 27.5 THEN (30 - quantity) / 10 END AS a,
+          CASE WHEN extendedprice > 55000 THEN (extendedprice - 50000) / 20000 WHEN extendedprice < 25000 THEN (30000 - extendedprice) / 20000 END AS b,
+          'quantity=' || printf('%.2f', quantity) AS ta, 'extendedprice=' || printf('%.2f', extendedprice) AS tb FROM h)
+  SELECT head, CASE WHEN a IS NULL AND b IS NULL THEN 'in_range' ELSE 'out_of_range' END AS status,
+         (a IS NOT NULL)::int + (b IS NOT NULL)::int AS n_outliers,
+         CASE WHEN a IS NULL OR b > a OR (b = a) THEN concat_ws('; ', CASE WHEN b IS NOT NULL THEN tb END, CASE WHEN a IS NOT NULL THEN ta END)
+              ELSE concat_ws('; ', ta, CASE WHEN b IS NOT NULL THEN tb END) END AS detail FROM x""")
+def range_report(spark, d):
+    heads = X.views(spark, d).groupBy("head").agg(F.avg("quantity").alias("quantity"),
+                                                  F.max("extendedprice").alias("extendedprice"))
+    cols = {c: F.col(c) for c in ("quantity", "extendedprice")}
+    ranges = {"quantity": (30, 40), "extendedprice": (30000, 50000)}
+    return heads.select("head", Q.range_report(cols, ranges).alias("r")).select("head", "r.*")

@@ -69,10 +69,7 @@ def test_confusion_and_auc(oof):
 
 
 def test_row_audit(spark, feats, names, tables):
-    order = {n: i for i, n in enumerate(names)}
-    long = A.long_form(feats, ["sample_code"], names)
-    idx = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    got = A.robust_z(long.withColumn("idx", idx[F.col("feature")]), "sample_code", order="idx").collect()
+    got = A.robust_z(feats, "sample_code", names).collect()
     want = spark.read.csv(str(tables / "reports/experiments/exp_featureset_row_audit.csv"), header=True,
                           inferSchema=True).collect()
     got = {r["sample_code"]: r for r in got}
@@ -108,6 +105,11 @@ def test_training_rows_are_in_range(spark, feats, tables):
     ranges = S.model_ranges(S.read_model_config(spark, str(tables / "models/model_config.json")))
     long = A.long_form(feats, ["sample_code"], FEATURES)
     assert Q.range_check(long, ranges, "sample_code").where("status = 'out_of_range'").count() == 0
+    lits = {r["feature"]: (r["min"], r["max"]) for r in ranges.collect()}
+    far = {n: F.col(n) * (9 if n == "sd_G" else 1) for n in lits}
+    rep = feats.select("sample_code", Q.range_report(far, lits).alias("r")).select("sample_code", "r.*")
+    out = rep.where("status = 'out_of_range'").collect()
+    assert out and all(r["n_outliers"] == 1 and r["detail"].startswith("sd_G=") for r in out)
 
 
 def test_fold_metrics_summary(spark, tables):
