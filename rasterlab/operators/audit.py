@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from rasterlab import params as P
@@ -21,10 +21,8 @@ def null_cells(df: DataFrame) -> Column:
 
 def class_counts(df: DataFrame, y: str) -> DataFrame:
     """Rows and share per class."""
-    total = df.groupBy().agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_one"))
-    return (df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-            .join(F.broadcast(total), "_one")
-            .select(y, "n", (F.col("n") / F.col("_all")).alias("share")))
+    every = Window.partitionBy(F.lit(1))  # one row per class by now
+    return df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(every))
 
 
 def duplicate_count(df: DataFrame, cols: list[str]) -> DataFrame:

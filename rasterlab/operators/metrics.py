@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterlab import params as P
 from rasterlab.operators.ordered import quantiles, running
+from rasterlab.session import cut_lineage
 
 METRICS = ["accuracy", "recall", "specificity", "precision", "kappa", "auc"]
 
@@ -153,17 +154,18 @@ def threshold_by_midpoints(df: DataFrame, score: str, y: str, objective="youden"
     run = running(df, keys, score, _class_sums(y), descending=True, **kw)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     value = F.round(fn_(F.col("all_neg") - fp, fp, F.col("all_pos") - tp, tp), 12)
-    at = run.select(*keys, F.col(score).alias("_s"), (tp + fp).alias("_end"),
+    # one row per distinct score, read three times below
+    at = cut_lineage(run.select(*keys, F.col(score).alias("_s"), (tp + fp).alias("_end"),
                     (tp + fp - F.col("pos") - F.col("neg")).alias("_start"),
-                    F.when(tp + fp < F.col("all_pos") + F.col("all_neg"), value).alias("_v"))
+                    F.when(tp + fp < F.col("all_pos") + F.col("all_neg"), value).alias("_v")))
     best = at.groupBy(*keys).agg(F.max("_v").alias("_best"))
-    winners = at.join(F.broadcast(best), keys).where(F.col("_v") == F.col("_best"))
+    winners = at.join(best, keys).where(F.col("_v") == F.col("_best"))
     # the next lower score starts where the winner's count ends
     lower = at.select(*keys, F.col("_s").alias("_lower"), F.col("_start").alias("_end"))
     mids = winners.join(lower, [*keys, "_end"]).select(
         *keys, ((F.col("_s") + F.col("_lower")) / 2).alias("_mid"))
     med = quantiles(mids, keys, "_mid", {"threshold": 0.5}, **kw)
-    out = best.join(F.broadcast(med), keys, "left").select(
+    out = best.join(med, keys, "left").select(
         *keys, F.coalesce("threshold", F.lit(0.5)).alias("threshold"), F.col("_best").alias("value"))
     return out.drop("_all")
 

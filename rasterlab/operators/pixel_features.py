@@ -54,6 +54,7 @@ def detect_blobs(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame
     base = R.residual_mask(base, "lum", "_fine", "roi", p.fine_k, p.fine_floor, "_f")
     # the filters over all pixels run once; what they find is sparse
     found = cut_lineage(base.where(F.col("_c") | F.col("_f")).select("image_id", "y", "x", "_c", "_f"))
+    found = found.repartition("image_id")
     coarse = K.label_runs(K.mask_runs(found.where("_c")), 4, p.height)
     large = K.area_filtered(K.blob_table(coarse), p.large_min)
     kept = coarse.join(large.select(*K.LABEL), K.LABEL, "left_semi")

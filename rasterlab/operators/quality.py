@@ -77,13 +77,15 @@ def range_check(long: DataFrame, ranges: DataFrame, id_: str, top: int = 3,
                 tolerance: float = P.RANGE_TOLERANCE) -> DataFrame:
     """(id, status, n_outliers, detail): features beyond the training ranges.
 
-    ``detail`` lists the ``top`` worst, worst first. A row has at most one
+    ``detail`` lists the ``top`` worst with their ranges, worst first. A row has at most one
     value per feature, so the gathered list is as long as the schema is wide.
     """
     r = ranges.select("feature", F.col("min").alias("_lo"), F.col("max").alias("_hi"))
     out = long.join(F.broadcast(r), "feature").withColumn(
         "_ex", range_excess(F.col("value"), F.col("_lo"), F.col("_hi"), tolerance))
-    text = F.concat(F.col("feature"), F.lit("="), span_text(F.col("value"), F.col("_hi") - F.col("_lo")))
+    span = F.col("_hi") - F.col("_lo")
+    text = F.concat(F.col("feature"), F.lit("="), span_text(F.col("value"), span), F.lit(" ("),
+                    span_text(F.col("_lo"), span), F.lit(" to "), span_text(F.col("_hi"), span), F.lit(")"))
     worst = F.sort_array(F.collect_list(F.when(F.col("_ex").isNotNull(), F.struct(
         (-F.col("_ex")).alias("ex"), F.col("feature").alias("f"), text.alias("t")))))
     return out.groupBy(id_).agg(F.count("_ex").alias("n_outliers"), worst.alias("_w")).select(
@@ -104,7 +106,9 @@ def range_report(values: dict[str, Column], ranges: dict[str, tuple[float, float
     for n, (lo, hi) in ranges.items():
         v = values[n]
         ex = range_excess(v, F.lit(float(lo)), F.lit(float(hi)), tolerance)
-        text = F.concat(F.lit(f"{n}="), span_text(v, F.lit(abs(float(hi) - float(lo)))))
+        span = F.lit(abs(float(hi) - float(lo)))
+        text = F.concat(F.lit(f"{n}="), span_text(v, span), F.lit(" ("), span_text(F.lit(float(lo)), span),
+                        F.lit(" to "), span_text(F.lit(float(hi)), span), F.lit(")"))
         cells.append(F.when(ex.isNotNull(), F.struct((-ex).alias("ex"), F.lit(n).alias("f"), text.alias("t"))))
     worst = F.sort_array(F.array_compact(F.array(*cells)))
     return F.struct(F.when(F.size(worst) > 0, "out_of_range").otherwise("in_range").alias("status"),
@@ -145,3 +149,10 @@ def best_view(views: DataFrame, head: str, view: str, score: str) -> DataFrame:
         head, (-F.col("_b._v")).alias(view), F.col(f"_b.{score}").alias(score))
 
 
+
+
+def with_companion(views: DataFrame, companions: DataFrame, on: str, ok: str = "ok") -> DataFrame:
+    """Views with ``has_companion``; a companion whose detection failed does
+    not count."""
+    usable = companions.where(F.coalesce(F.col(ok), F.lit(True))).select(on).distinct().withColumn("_c", F.lit(True))
+    return views.join(usable, on, "left").withColumn("has_companion", F.coalesce("_c", F.lit(False))).drop("_c")

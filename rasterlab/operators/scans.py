@@ -1,6 +1,6 @@
 """Queries and snapshot changes on the scan tables."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlab import params as P
 from rasterlab.functions import rules as R
@@ -119,10 +119,12 @@ def dataset_stats(scans: DataFrame, image_path: str = "image_path") -> DataFrame
     truth = F.col("compactdry_truth")
     per = with_crop(scans).groupBy("crop").agg(
         F.count(F.lit(1)).alias("total_samples"), F.count_if(truth == 1).alias("n_positive"),
-        F.count_if(truth == 0).alias("n_negative"), F.count_if(truth.isNull()).alias("n_unlabelled"))
-    images = scans.groupBy().agg(F.count(image_path).alias("n_images"), F.lit(1).alias("_one"))
+        F.count_if(truth == 0).alias("n_negative"), F.count_if(truth.isNull()).alias("n_unlabelled"),
+        F.count(image_path).alias("_images"))
+    all_crops = Window.partitionBy(F.lit(1))  # one row per crop by now
+    per = per.withColumn("n_images", F.sum("_images").over(all_crops)).drop("_images")
     pos, neg = F.col("n_positive"), F.col("n_negative")
-    return per.withColumn("_one", F.lit(1)).join(F.broadcast(images), "_one").drop("_one").select(
+    return per.select(
         "*", F.coalesce(F.try_divide(pos * 100.0, pos + neg), F.lit(0.0)).alias("pct_positive"),
         F.coalesce(F.try_divide(neg * 100.0, pos + neg), F.lit(0.0)).alias("pct_negative"),
         F.coalesce(F.try_divide(F.least(pos, neg), F.greatest(pos, neg)), F.lit(0.0)).alias("balance_ratio"),

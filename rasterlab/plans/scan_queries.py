@@ -454,8 +454,8 @@ def range_check(spark, d):
   WITH v AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer),
   r AS (SELECT min(value) AS lo, max(value) AS hi FROM v WHERE value BETWEEN 1000 AND 4000)
   SELECT id, CASE WHEN o THEN 'out_of_range' ELSE 'in_range' END AS status, o::int::bigint AS n_outliers,
-         CASE WHEN o THEN 'acctbal=' || printf('%.2f', value) ELSE '' END AS detail
-  FROM (SELECT id, value, value > hi + (hi - lo) * 0.25 OR value < lo - (hi - lo) * 0.25 AS o FROM v, r)""")
+         CASE WHEN o THEN 'acctbal=' || printf('%.2f', value) || ' (' || printf('%.2f', lo) || ' to ' || printf('%.2f', hi) || ')' ELSE '' END AS detail
+  FROM (SELECT id, value, lo, hi, value > hi + (hi - lo) * 0.25 OR value < lo - (hi - lo) * 0.25 AS o FROM v, r)""")
 def range_detail(spark, d):
     long = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("acctbal").alias("feature"),
                                               F.col("c_acctbal").alias("value"))
@@ -543,7 +543,8 @@ def framing_warnings(spark, d):
   WITH h AS (SELECT head, avg(quantity) AS quantity, max(extendedprice) AS extendedprice FROM {VW} GROUP BY 1),
   x AS (SELECT head, CASE WHEN quantity > 42.5 THEN (quantity - 40) / 10 WHEN quantity < 27.5 THEN (30 - quantity) / 10 END AS a,
           CASE WHEN extendedprice > 55000 THEN (extendedprice - 50000) / 20000 WHEN extendedprice < 25000 THEN (30000 - extendedprice) / 20000 END AS b,
-          'quantity=' || printf('%.2f', quantity) AS ta, 'extendedprice=' || printf('%.2f', extendedprice) AS tb FROM h)
+          'quantity=' || printf('%.2f', quantity) || ' (30.00 to 40.00)' AS ta,
+          'extendedprice=' || printf('%.2f', extendedprice) || ' (30000.00 to 50000.00)' AS tb FROM h)
   SELECT head, CASE WHEN a IS NULL AND b IS NULL THEN 'in_range' ELSE 'out_of_range' END AS status,
          (a IS NOT NULL)::int + (b IS NOT NULL)::int AS n_outliers,
          CASE WHEN a IS NULL OR b > a OR (b = a) THEN concat_ws('; ', CASE WHEN b IS NOT NULL THEN tb END, CASE WHEN a IS NOT NULL THEN ta END)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlab.operators import scans as T
 from rasterlab.session import checkpoint_root
+from rasterlab.sources.sinks import write_snapshot
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -60,21 +61,17 @@ def joined_truth(scans: DataFrame, truths: DataFrame, within: str, delay: str) -
     return a.join(b, cond, "leftOuter")
 
 
-def upsert_truth(patches: DataFrame, first: DataFrame, folder: str) -> DataFrame:
-    """Snapshots of the scan table, one per micro-batch of lab results.
+def upsert_truth(patches: DataFrame, scans: DataFrame, folder: str) -> DataFrame:
+    """The scan table with all lab results that have streamed in.
 
-    A batch reads the snapshot before it and writes its own folder, so a batch
-    that is run again writes the same rows.
+    Results go to an append-only log, so a micro-batch writes its patches and
+    nothing else; the last one per scan is applied on reading. ``compacted``
+    folds the log into a new snapshot when it has grown.
     """
-    spark = first.sparkSession
-    first.write.mode("overwrite").parquet(f"{folder}/snapshot/v=0")
+    log = run_to_files(patches.select("id", "compactdry_truth", "patched_at"), folder)
+    return T.record_truth(scans, log).select(scans.columns)
 
-    def write(df, batch_id):
-        last = spark.read.schema(first.schema).parquet(f"{folder}/snapshot/v={batch_id}")
-        T.record_truth(last, df).select(first.columns).write.mode("overwrite").parquet(
-            f"{folder}/snapshot/v={batch_id + 1}")
-    q = (patches.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    done = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
-    return spark.read.schema(first.schema).parquet(f"{folder}/snapshot/v={done}")
+
+def compacted(scans: DataFrame, log: DataFrame, path: str) -> DataFrame:
+    """A new snapshot with the log applied."""
+    return write_snapshot(T.record_truth(scans, log).select(scans.columns), path)

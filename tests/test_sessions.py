@@ -118,6 +118,9 @@ def test_late_results_set_and_clear(spark, tmp_path, stream_of):
     out = J.upsert_truth(patches, first, str(tmp_path / "t")).collect()
     got = {r["id"]: (r["compactdry_truth"], r["truth_recorded_at"] is not None) for r in out}
     assert got == {1: (0, True), 2: (None, False), 3: (0, True)}
+    log = spark.read.parquet(str(tmp_path / "t/data"))
+    again = J.compacted(first, log, str(tmp_path / "snapshot"))
+    assert {r["id"]: r["compactdry_truth"] for r in again.collect()} == {1: 0, 2: None, 3: 0}
 
 
 def test_counts_follow_the_stream(spark, tmp_path, stream_of):
