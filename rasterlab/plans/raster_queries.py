@@ -106,7 +106,7 @@ LAP = """(SELECT *, coalesce(lag({v}) OVER wx, {v}) + coalesce(lead({v}) OVER wx
   WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y))"""
 
 
-@query("colour_stats", f"""
+COLOUR_SQL = f"""
   WITH p AS {LAP.format(v='bright', t=PREP)}, m AS (SELECT image_id, coalesce(median(bright) FILTER (valid), 0) AS med FROM p GROUP BY 1),
   s AS (SELECT p.image_id, coalesce(median(abs(bright - med)) FILTER (valid), 0) * 1.4826 * 3 AS spread, any_value(med) AS med
         FROM p JOIN m USING (image_id) GROUP BY 1)
@@ -119,7 +119,10 @@ LAP = """(SELECT *, coalesce(lag({v}) OVER wx, {v}) + coalesce(lead({v}) OVER wx
     {rnd('quantile_cont(bright, 0.95) FILTER (roi)')} AS "F_p95", {rnd('quantile_cont(bright, 0.05) FILTER (roi)')} AS "F_p05",
     {rnd('avg(ndfi) FILTER (roi)')} AS "NDFI_mean", {rnd('quantile_cont(ndfi, 0.95) FILTER (roi)')} AS "NDFI_p95",
     {rnd('quantile_cont(ndfi, 0.05) FILTER (roi)')} AS "NDFI_p05"
-  FROM p JOIN s USING (image_id) GROUP BY 1""")
+  FROM p JOIN s USING (image_id) GROUP BY 1"""
+
+
+@query("colour_stats", COLOUR_SQL)
 def colour_stats(spark, d):
     return _round(V.colour_stats(V.prepared(X.rgb_pixels(spark, d))), *STATS)
 
@@ -464,10 +467,45 @@ def blob_on_mask(spark, d):
     return _round(V.exclusive_fraction(views, small, spots, N), "uv_exclusive_dot_frac")
 
 
-@query("view_features")
+def _labelled(mask, tag):
+    near = "abs(m.y - r.y) + abs(m.x - r.x) = 1"
+    return f"""m{tag} AS (SELECT image_id, y, x FROM {mask}),
+  r{tag}(image_id, y, x, l) AS (SELECT image_id, y, x, y * 8 + x FROM m{tag} UNION
+    SELECT m.image_id, m.y, m.x, r.l FROM r{tag} r JOIN m{tag} m ON m.image_id = r.image_id AND {near}),
+  l{tag} AS (SELECT image_id, y, x, min(l) AS label FROM r{tag} GROUP BY 1, 2, 3)"""
+
+
+# The whole chain from colour bytes to the 23 features of a frame.
+VIEW_SQL = f"""
+  WITH RECURSIVE p AS (SELECT image_id, y, x, lum AS v, roi::int AS m FROM {PREP}),
+  c3 AS {box_sql(3, 'reflect')}, c5 AS {box_sql(5, 'reflect')},
+  res AS (SELECT p.image_id, p.y, p.x, p.m, p.v - c3.mean AS f, p.v - c5.mean AS c FROM p JOIN c3 USING (image_id, y, x)
+          JOIN c5 USING (image_id, y, x)),
+  cut AS (SELECT image_id, greatest(stddev_pop(f) * 1.0, 10) AS tf, greatest(stddev_pop(c) * 0.6, 4) AS tc FROM res WHERE m = 1 GROUP BY 1),
+  hot AS (SELECT image_id, y, x, f > tf AS fine, c > tc AS coarse FROM res JOIN cut USING (image_id) WHERE m = 1),
+  {_labelled('hot WHERE coarse', 'c')},
+  bc AS (SELECT image_id, label, count(*) AS area FROM lc GROUP BY 1, 2 HAVING count(*) >= 5),
+  big AS (SELECT image_id, y, x FROM lc JOIN bc USING (image_id, label)),
+  fine AS (SELECT image_id, y, x FROM hot WHERE hot.fine AND NOT EXISTS (SELECT 1 FROM big WHERE big.image_id = hot.image_id
+    AND abs(big.y - hot.y) + abs(big.x - hot.x) <= 1)),
+  {_labelled('fine', 's')},
+  bs AS (SELECT image_id, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM ls GROUP BY 1, 2 HAVING count(*) BETWEEN 1 AND 4),
+  nn AS (SELECT a.image_id, a.label, min(sqrt((a.cx - o.cx) * (a.cx - o.cx) + (a.cy - o.cy) * (a.cy - o.cy))) AS d
+         FROM bs a JOIN bs o ON a.image_id = o.image_id AND a.label <> o.label GROUP BY 1, 2),
+  den AS (SELECT image_id, 1 / (avg(d) + 1e-6) AS cd FROM nn GROUP BY 1),
+  sm AS (SELECT image_id, count(*) AS n, avg(2 * sqrt(area / pi())) AS d, max(area) AS mx FROM bs GROUP BY 1),
+  lg AS (SELECT image_id, count(*) AS n, avg(2 * sqrt(area / pi())) AS d, max(area) AS mx FROM bc GROUP BY 1)
+  SELECT k.*, greatest(coalesce(sm.mx, 0), coalesce(lg.mx, 0))::double AS blob_max, coalesce(sm.n, 0)::double AS n_small_sharp_blobs,
+    coalesce(lg.n, 0)::double AS n_large_blotches, {rnd('coalesce(sm.d, 0)')} AS avg_small_blob_diam_px,
+    {rnd('coalesce(lg.d, 0)')} AS avg_large_blotch_diam_px, {rnd('coalesce(cd, 0)')} AS cluster_density,
+    {rnd('coalesce(sm.n, 0) / (coalesce(sm.n, 0) + coalesce(lg.n, 0) + 1e-6)')} AS ratio_small_to_large
+  FROM ({COLOUR_SQL}) k LEFT JOIN sm USING (image_id) LEFT JOIN lg USING (image_id) LEFT JOIN den USING (image_id)"""
+
+
+@query("view_features", VIEW_SQL)
 def view_features(spark, d):
     """All 23 features of every frame, with windows that fit an 8 x 8 frame."""
     p = V.BlobParams(fine_window=3, coarse_window=5, fine_k=1.0, coarse_k=0.6, dilate=1, small_min=1, small_max=4,
                      large_min=5, height=N)
     feats, _ = V.view_features(X.rgb_pixels(spark, d), p)
-    return feats
+    return _round(feats, *feats.columns[1:])

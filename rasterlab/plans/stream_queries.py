@@ -27,13 +27,67 @@ def _as_capture(e):
         F.when(kind == "signup", F.array(file_, file_)).otherwise(F.array(file_)).alias("files"))
 
 
-@query("session_machine")
+# The same machine as a recursion over each user's events in order.
+SESSION_SQL = """
+  WITH RECURSIVE ev AS (
+    SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_id, ts, k < 5 AS bad,
+      CASE WHEN event_type IN ('view', 'signup') THEN 'upload' WHEN event_type = 'click' THEN 'skip'
+        WHEN event_type = 'error' THEN 'retake' ELSE 'predict' END AS action,
+      CASE WHEN k > 95 THEN 'public' ELSE 'research' END AS ds, CASE WHEN k BETWEEN 93 AND 95 THEN 'garlic' ELSE 'onion' END AS cr,
+      CASE WHEN k = 50 THEN '' ELSE 'S' || user_id END AS code, CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END AS n
+    FROM (SELECT *, (props->>'$.k')::double AS k FROM events)),
+  live AS (SELECT u, rn, NULL::bigint AS event_id, NULL::varchar AS action, NULL::varchar AS outcome, NULL::timestamp AS created,
+      NULL::varchar AS ds, NULL::varchar AS cr, NULL::varchar AS code, 0 AS step, ''::varchar AS cap,
+      NULL::varchar AS sds, NULL::varchar AS scr, NULL::varchar AS scode, 0 AS sstep, ''::varchar AS scap
+    FROM (SELECT DISTINCT u, 0::bigint AS rn FROM ev)
+  UNION ALL
+    SELECT u, rn, event_id, action, outcome,
+      CASE WHEN outcome = 'finished' OR NOT has THEN NULL ELSE created END, ds, cr, code, step, cap,
+      CASE WHEN has THEN ds ELSE eds END, CASE WHEN has THEN cr ELSE ecr END, CASE WHEN has THEN code ELSE ecode END,
+      CASE WHEN has THEN step ELSE 0 END, CASE WHEN has THEN cap ELSE '' END
+    FROM (SELECT *, CASE WHEN outcome = 'accepted' THEN least(step0 + n, 2) WHEN outcome = 'skipped' THEN step0 + 1 ELSE step0 END AS step,
+        CASE WHEN outcome = 'accepted' THEN concat_ws(',', nullif(cap0, ''), CASE WHEN step0 = 0 THEN 'V1' ELSE 'VISIBLE' END,
+          CASE WHEN n = 2 THEN 'VISIBLE' END) ELSE cap0 END AS cap
+      FROM (SELECT *, CASE
+          WHEN up AND ecode = '' THEN 'code_required'
+          WHEN up AND ds <> eds THEN 'other_dataset' WHEN up AND cr <> ecr THEN 'other_crop'
+          WHEN pop AND cap1 = '' THEN 'nothing_to_retake' WHEN up AND step0 >= 2 THEN 'complete'
+          WHEN up AND n > 2 - step0 THEN 'too_many_files' WHEN up AND bad THEN 'bad_file' WHEN up THEN 'accepted'
+          WHEN NOT has THEN 'no_session' WHEN action = 'skip' AND step0 >= 2 THEN 'complete'
+          WHEN action = 'skip' AND step0 = 0 THEN 'step_required' WHEN action = 'skip' THEN 'skipped'
+          WHEN ds <> eds THEN 'other_dataset' WHEN NOT contains(cap0, 'V1') THEN 'no_uv' ELSE 'finished' END AS outcome
+        FROM (SELECT *, CASE WHEN pop AND ds = eds AND cr = ecr AND cap1 <> '' THEN
+              CASE WHEN contains(cap1, ',') THEN regexp_replace(cap1, ',[^,]*$', '') ELSE '' END ELSE cap1 END AS cap0,
+            CASE WHEN pop AND ds = eds AND cr = ecr AND cap1 <> '' THEN greatest(step1 - 1, 0) ELSE step1 END AS step0
+          FROM (SELECT e.u, e.rn, e.event_id, e.action, e.bad, e.n, e.ds AS eds, CASE WHEN e.ds = 'public' THEN 'onion' ELSE e.cr END AS ecr,
+              e.code AS ecode, e.action IN ('upload', 'retake') AS up, a.alive OR (e.action IN ('upload', 'retake') AND e.code <> '') AS has,
+              a.alive AND e.action = 'retake' AND e.code <> '' AS pop,
+              CASE WHEN a.alive THEN s.created ELSE e.ts END AS created, CASE WHEN a.alive THEN s.ds ELSE e.ds END AS ds,
+              CASE WHEN a.alive THEN s.cr WHEN e.ds = 'public' THEN 'onion' ELSE e.cr END AS cr,
+              CASE WHEN e.action IN ('upload', 'retake') AND e.code <> '' AND (NOT a.alive OR (s.ds = e.ds AND s.cr =
+                CASE WHEN e.ds = 'public' THEN 'onion' ELSE e.cr END)) THEN e.code WHEN a.alive THEN s.code ELSE e.code END AS code,
+              CASE WHEN a.alive THEN s.step ELSE 0 END AS step1, CASE WHEN a.alive THEN s.cap ELSE '' END AS cap1
+            FROM live s JOIN ev e ON e.u = s.u AND e.rn = s.rn + 1,
+              LATERAL (SELECT s.created IS NOT NULL AND e.ts <= s.created + INTERVAL 30 MINUTE AS alive) a)))))
+  SELECT u::varchar AS session_id, event_id, action, outcome, sds AS dataset, scr AS crop, scode AS sample_code, scap AS captured,
+         sstep AS step, sstep >= 2 AS all_captured FROM live WHERE rn > 0"""
+
+
+@query("session_machine", SESSION_SQL)
 def session_machine(spark, d):
     out = Z.capture_sessions(_as_capture(_events(spark, d)))
-    done = J.run_to_files(out, J.work_folder(spark, "sessions"))
+    done = J.run_to_files(out, J.work_folder(spark, "sessions")).where(F.col("event_id").isNotNull())
     return done.withColumn("captured", F.concat_ws(",", "captured")).drop("ts")
 
 
+@query("session_expiry")
+def session_expiry(spark, d):
+    """Sessions that the timer ended."""
+    out = Z.capture_sessions(_as_capture(_events(spark, d)))
+    done = J.run_to_files(out, J.work_folder(spark, "expiry"))
+    return done.where(F.col("outcome") == "expired").select("session_id", "outcome", "step")
+
+
 @query("stream_append", f"""
   SELECT dataset, coalesce(crop, 'onion') AS crop, count(*) AS n FROM ({X.SCANS_SQL}) GROUP BY 1, 2""")
 def stream_append(spark, d):

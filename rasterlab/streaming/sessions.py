@@ -115,7 +115,7 @@ def _rows(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     for e in batch.itertuples(index=False):
         before = s
         s, outcome = advance(s, e)
-        seen = s or before
+        seen = before if outcome == "finished" else s
         done = seen is not None and seen.step >= len(P.CAPTURE_STEPS)
         out.append((key[0], e.event_id, e.ts, e.action, outcome, seen.dataset if seen else e.dataset,
                     seen.crop if seen else e.crop, seen.code if seen else e.sample_code,
