@@ -45,14 +45,14 @@ def constant_features(long: DataFrame, feature="feature", value="value") -> Data
 
 def long_form(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
     """(ids, feature, value) from wide feature columns."""
-    wide = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return wide.unpivot(ids, cols, "feature", "value")
+    values = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])).alias("_i", "value")
+    return df.select(*ids, values).select(*ids, F.get(F.lit(cols), F.col("_i")).alias("feature"), "value")
 
 
 def robust_scale(long: DataFrame, keys=("feature",), value="value", **kw) -> DataFrame:
     """(keys, med, robust_sd): median and scaled MAD, two exact passes."""
     keys = list(keys)
-    med = quantiles(long, keys, value, {"med": 0.5}, **kw)
+    med = cut_lineage(quantiles(long, keys, value, {"med": 0.5}, **kw))  # a row per feature
     dev = long.join(F.broadcast(med), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
     mad = quantiles(dev, keys, "_dev", {"mad": 0.5}, **kw)
     return med.join(F.broadcast(mad), keys).select(
@@ -66,7 +66,8 @@ def robust_z(df: DataFrame, id_: str, cols: list[str], limit: float = 5.0, **kw)
     The scales are one pair per column; with them the rows are judged in
     place, without grouping.
     """
-    scale = {r["feature"]: r for r in robust_scale(long_form(df, [], cols), ["feature"], **kw).collect()}
+    rows = robust_scale(long_form(df, [], cols), ["feature"], max_rows=df.count(), **kw).collect()
+    scale = {r["feature"]: r for r in rows}
     zs = []
     for c in cols:
         s = scale.get(c)

@@ -15,15 +15,18 @@ BUCKETS_MAX = 4096
 
 
 def with_buckets(df: DataFrame, keys: list[str], value: str,
-                 rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
+                 rows_per_bucket: int | None = None, max_rows: int | None = None) -> tuple[DataFrame, int]:
     """(rows with ``_bucket``, keys x buckets).
 
     ``_bucket`` is the number of value bounds strictly below ``value``. It is
     left out, with a count of 0, when no key has more than ``rows_per_bucket``
     rows. The count is the size of any per-bucket table, so callers know
-    whether to broadcast one.
+    whether to broadcast one. A caller that knows no key to have more than
+    ``max_rows`` rows saves the look.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    if max_rows is not None and max_rows <= rows_per_bucket:
+        return df, 0
     size = df.groupBy(*keys).count().agg(F.max("count").alias("n"), F.count(F.lit(1)).alias("keys")).first()
     buckets = min(BUCKETS_MAX, -(-(size["n"] or 0) // rows_per_bucket))
     if buckets <= 1:
@@ -96,14 +99,14 @@ def _known(keys: list[str]) -> Column:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-              rows_per_bucket: int | None = None) -> DataFrame:
+              rows_per_bucket: int | None = None, max_rows: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per name.
 
     For large keys the bucket totals tell which buckets hold the wanted ranks,
     and only the rows of those buckets are sorted.
     """
     df = df.select(*keys, value).where(F.col(value).isNotNull() & _known(keys))
-    parts, size = with_buckets(df, keys, value, rows_per_bucket)
+    parts, size = with_buckets(df, keys, value, rows_per_bucket, max_rows)
     if size:
         totals = parts.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         key_w = Window.partitionBy(*keys)  # at most BUCKETS_MAX rows per key

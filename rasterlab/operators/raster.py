@@ -54,8 +54,10 @@ def reflected(df: DataFrame, r: int, axis: str) -> DataFrame:
     size = "w" if axis == "x" else "h"
     a, n = F.col(axis), F.col(size)
     turns = F.floor(F.lit(r) / (n * 2)).cast("int") + 1
-    at = F.flatten(F.transform(F.sequence(-turns, turns), lambda t: F.array(a + 2 * n * t, -1 - a + 2 * n * t)))
+    once = F.array_compact(F.array(a, F.when(a < r, -1 - a), F.when(a >= n - r, 2 * n - 1 - a)))
+    many = F.flatten(F.transform(F.sequence(-turns, turns), lambda t: F.array(a + 2 * n * t, -1 - a + 2 * n * t)))
     keep = [c for c in df.columns if c != axis]
+    at = F.when(n >= r, once).otherwise(many)  # a frame narrower than the window is mirrored repeatedly
     return df.select(*keep, F.explode(at).alias(axis)).where((F.col(axis) >= -r) & (F.col(axis) < n + r))
 
 

@@ -435,9 +435,21 @@ def paired_delta(spark, d):
     return _round(C.paired_delta(_method_folds(spark, d), "base"), "d_mean", "d_sd", "d_sem", "t", "not_worse")
 
 
-@query("paired_pvalue")
+# Student's t with 19 degrees of freedom (20 shared folds), as its finite sum.
+T19 = "1 - 2 / pi() * (th + sin(th) * (cos(th) + " + " + ".join(
+    f"{c} * pow(cos(th), {2 * i + 3})" for i, c in enumerate(
+        ["2.0/3", "2.0/3*4/5", "2.0/3*4/5*6/7", "2.0/3*4/5*6/7*8/9", "2.0/3*4/5*6/7*8/9*10/11",
+         "2.0/3*4/5*6/7*8/9*10/11*12/13", "2.0/3*4/5*6/7*8/9*10/11*12/13*14/15",
+         "2.0/3*4/5*6/7*8/9*10/11*12/13*14/15*16/17"])) + "))"
+
+
+@query("paired_pvalue", f"""
+  WITH f AS ({FOLDS_SQL}), p AS (SELECT a.name, a.kappa - b.kappa AS d FROM f a JOIN f b
+      ON a.repeat = b.repeat AND a.fold = b.fold AND b.name = 'base' WHERE a.name <> 'base'),
+  t AS (SELECT name, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM p GROUP BY 1)
+  SELECT name, {rnd('t')} AS t, {rnd(T19)} AS p FROM (SELECT name, t, atan(abs(t) / sqrt(19.0)) AS th FROM t)""")
 def paired_pvalue(spark, d):
-    return C.with_pvalue(C.paired_delta(_method_folds(spark, d), "base")).select("name", "t", "p")
+    return _round(C.with_pvalue(C.paired_delta(_method_folds(spark, d), "base")).select("name", "t", "p"), "t", "p")
 
 
 @query("comparison_table", f"""

@@ -80,7 +80,10 @@ def session_machine(spark, d):
     return done.withColumn("captured", F.concat_ws(",", "captured")).drop("ts")
 
 
-@query("session_expiry")
+@query("session_expiry", SESSION_SQL.split("SELECT u::varchar AS session_id")[0] + """
+  SELECT u::varchar AS session_id, 'expired' AS outcome, step FROM live
+  WHERE (u, rn) IN (SELECT (u, max(rn)) FROM live GROUP BY u)
+    AND created + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def session_expiry(spark, d):
     """Sessions that the timer ended."""
     out = Z.capture_sessions(_as_capture(_events(spark, d)))
