@@ -3,8 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -80,36 +79,36 @@ def robust_z(df: DataFrame, id_: str, cols: list[str], limit: float = 5.0, **kw)
                      F.size(F.filter(F.array(*zs), lambda z: z > limit)).cast("bigint").alias(f"n_feat_z_gt{limit:g}"))
 
 
-@F.pandas_udf(DoubleType())
-def _sq_distance(x: pd.Series, mean: pd.Series, inv: pd.Series) -> pd.Series:
-    """Squared Mahalanobis distance of each row's array."""
-    if not len(x):
-        return pd.Series(dtype=float)
-    m = np.asarray(mean.iloc[0])
-    d = np.stack(x.to_numpy()) - m
-    return pd.Series(np.einsum("ij,jk,ik->i", d, np.asarray(inv.iloc[0]).reshape(len(m), -1), d))
+def _sq_distance(mean: np.ndarray, inv: np.ndarray):
+    """Squared Mahalanobis distance of an array column's rows."""
+    @F.pandas_udf(DoubleType())
+    def distance(x: pd.Series) -> pd.Series:
+        d = np.stack(x.to_numpy()) - mean
+        return pd.Series(np.einsum("ij,jk,ik->i", d, inv, d))
+    return distance
 
 
 def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0.9, steps: int = 10) -> DataFrame:
     """Mahalanobis distance under the covariance of the closest ``support``
     share of rows (minimum covariance determinant by concentration steps).
 
-    Each step is a covariance over the kept rows, a d x d inverse on the
-    driver, and one exact quantile for the next cut.
+    Each step is a covariance over the kept rows, a d x d inverse, and one
+    exact quantile for the next cut.
     """
     live = [c for c, (n, lo, hi) in zip(cols, _spans(df, cols)) if n and hi > lo]
-    vec = VectorAssembler(inputCols=live, outputCol="_v")
-    base = cut_lineage(vec.transform(df).select(id_, vector_to_array("_v").alias("x")))
+    base = cut_lineage(df.select(id_, F.array(*[F.col(f"`{c}`").cast("double") for c in live]).alias("x")))
+    n = base.count()
+    center = np.zeros(len(live))
     kept, last = base, None
-    dist = base
     for _ in range(steps):
-        mean, inv, det = _mean_inverse(kept)
-        dist = base.withColumn("d2", _sq_distance("x", F.lit(mean), F.lit(inv)))
-        cut = quantiles(dist, [], "d2", {"cut": support}).first()["cut"]
+        mean, cov = _moments(kept, center)
+        center = mean
+        dist = base.withColumn("d2", _sq_distance(mean, np.linalg.pinv(cov))("x"))
+        _, det = np.linalg.slogdet(cov)
         if last is not None and det >= last - 1e-4:
             break
         last = det
-        kept = dist.where(F.col("d2") <= cut)
+        kept = dist.where(F.col("d2") <= quantiles(dist, [], "d2", {"cut": support}, max_rows=n).first()["cut"])
     return dist.select(id_, F.sqrt("d2").alias("distance"))
 
 
@@ -118,16 +117,26 @@ def _spans(df: DataFrame, cols):
     return [row[i:i + 3] for i in range(0, len(row), 3)]
 
 
-def _mean_inverse(rows: DataFrame):
-    """Mean, flattened inverse covariance and log determinant of the arrays."""
-    v = rows.select(array_to_vector("x").alias("v"))
-    s = v.select(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).select("s.*").first()
-    mean, sd = np.array(s["mean"].toArray()), np.array(s["std"].toArray())
-    sd[sd == 0] = 1e-12
-    corr = Correlation.corr(v, "v").first()[0].toArray()
-    cov = np.nan_to_num(corr, nan=0.0) * np.outer(sd, sd)
-    _, logdet = np.linalg.slogdet(cov)
-    return [float(m) for m in mean], [float(a) for a in np.linalg.pinv(cov).ravel()], float(logdet)
+def _moments(rows: DataFrame, center: np.ndarray):
+    """Mean and covariance of the arrays ``x``.
+
+    Each task adds up its rows about ``center``; the d x d sums of the tasks
+    are then added by Spark, cell by cell.
+    """
+    d = len(center)
+
+    def sums(batches):
+        total = np.zeros(1 + d + d * d)
+        for b in batches:
+            x = np.stack(b["x"].to_numpy()) - center
+            total += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+        yield pd.DataFrame({"cell": np.arange(len(total), dtype=np.int32), "v": total})
+    cells = rows.select("x").mapInPandas(sums, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    v = np.zeros(1 + d + d * d)
+    for r in cells:
+        v[r["cell"]] = r["v"]
+    shift = v[1:1 + d] / v[0]
+    return center + shift, v[1 + d:].reshape(d, d) / v[0] - np.outer(shift, shift)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -127,10 +127,10 @@ def _margin(c: float) -> Fit:
     return fit
 
 
-def linear_svm(c: float = 1.0, threshold: float = 0.5) -> Fit:
+def linear_svm(c: float = 1.0, threshold: float = 0.5, k: int = P.INNER_SPLITS) -> Fit:
     """Linear margin turned into a probability by a sigmoid fitted on
     out-of-fold margins."""
-    return calibrated(_margin(c), "sigmoid", threshold)
+    return calibrated(_margin(c), "sigmoid", threshold, k)
 
 
 MODEL_TYPES = {"gradient_boosting": boosting, "random_forest": forest}

@@ -41,7 +41,7 @@ def linear_cv(spark, d):
 
 @query("svm_cv")
 def svm_cv(spark, d):
-    return _table(spark, d, ("svm", L.linear_svm()))
+    return _table(spark, d, ("svm", L.linear_svm(k=2)))
 
 
 @query("vote_cv")

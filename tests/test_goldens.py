@@ -1,11 +1,11 @@
 """Results on the published 60-row tables."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REFERENCE  # noqa: F401
 from rasterlab import params as P
 from rasterlab.operators import audit as A, metrics as M, paired as C, quality as Q, scans as T
 from rasterlab.sources import tables as S
@@ -14,9 +14,10 @@ FEATURES = P.VIEW_FEATURES + P.HEAD_FEATURES
 
 
 @pytest.fixture(scope="module")
-def feats(spark, tables):
-    cols = (tables / "data/features.csv").read_text().splitlines()[0].split(",")
-    return S.read_features(spark, str(tables / "data/features.csv"), S.feature_schema(cols[1:-1])).cache()
+def feats(spark, golden):
+    path = golden("sample_code", "sd_G", "compactdry")
+    cols = Path(path).read_text().splitlines()[0].split(",")
+    return S.read_features(spark, path, S.feature_schema(cols[1:-1])).cache()
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +26,8 @@ def names(feats):
 
 
 @pytest.fixture(scope="module")
-def oof(spark, tables):
-    return S.read_or_empty(spark, str(tables / "reports/phase3_oof_predictions.csv"), S.OOF_SCHEMA).cache()
+def oof(spark, golden):
+    return S.read_or_empty(spark, golden("y_proba", "fold"), S.OOF_SCHEMA).cache()
 
 
 def test_feature_names(names):
@@ -51,9 +52,9 @@ def test_auc_per_feature(feats, names):
         assert got[k] == pytest.approx(v, abs=1e-6)
 
 
-def test_redundancy(feats, names, tables):
+def test_redundancy(feats, names, golden):
     kept, dropped = A.prune_redundant(feats, names)
-    stored = json.loads((tables / "data/selected_features.json").read_text())["dropped_correlated"]
+    stored = json.loads(Path(golden("dropped_correlated")).read_text())["dropped_correlated"]
     assert len(kept) == 20
     assert [(a, b) for a, b, _ in dropped] == [(d["feature"], d["duplicate_of"]) for d in stored]
     for (_, _, c), d in zip(dropped, stored):
@@ -68,9 +69,9 @@ def test_confusion_and_auc(oof):
     assert {r["kind"]: r["count"] for r in err} == {"false_negative": 5, "false_positive": 8}
 
 
-def test_row_audit(spark, feats, names, tables):
+def test_row_audit(spark, feats, names, golden):
     got = A.robust_z(feats, "sample_code", names).collect()
-    want = spark.read.csv(str(tables / "reports/experiments/exp_featureset_row_audit.csv"), header=True,
+    want = spark.read.csv(golden("max_robust_z"), header=True,
                           inferSchema=True).collect()
     got = {r["sample_code"]: r for r in got}
     assert len(want) == 60
@@ -81,15 +82,15 @@ def test_row_audit(spark, feats, names, tables):
         assert g["n_feat_z_gt5"] == w["n_feat_z_gt5"]
 
 
-def test_robust_distance_ranks_outliers(spark, feats, names, tables):
+def test_robust_distance_ranks_outliers(spark, feats, names, golden):
     got = [r[0] for r in A.robust_distance(feats, "sample_code", names).orderBy(F.desc("distance")).limit(12).collect()]
-    want = (spark.read.csv(str(tables / "reports/experiments/exp_featureset_row_audit.csv"), header=True,
+    want = (spark.read.csv(golden("max_robust_z"), header=True,
                            inferSchema=True).orderBy(F.desc("mcd_dist")).limit(6))
     assert len({r["sample_code"] for r in want.collect()} & set(got)) >= 5
 
 
-def test_stored_ranges(spark, feats, tables):
-    config = S.read_model_config(spark, str(tables / "models/model_config.json"))
+def test_stored_ranges(spark, feats, golden):
+    config = S.read_model_config(spark, golden("training_feature_ranges"))
     stored = {r["feature"]: r for r in S.model_ranges(config).collect()}
     got = {r["feature"]: r for r in A.feature_ranges(A.long_form(feats, [], list(stored))).collect()}
     assert len(stored) == 10
@@ -101,8 +102,8 @@ def test_stored_ranges(spark, feats, tables):
     assert summary["decision_threshold"] == pytest.approx(P.DEPLOYED_THRESHOLD)
 
 
-def test_training_rows_are_in_range(spark, feats, tables):
-    ranges = S.model_ranges(S.read_model_config(spark, str(tables / "models/model_config.json")))
+def test_training_rows_are_in_range(spark, feats, golden):
+    ranges = S.model_ranges(S.read_model_config(spark, golden("training_feature_ranges")))
     long = A.long_form(feats, ["sample_code"], FEATURES)
     assert Q.range_check(long, ranges, "sample_code").where("status = 'out_of_range'").count() == 0
     lits = {r["feature"]: (r["min"], r["max"]) for r in ranges.collect()}
@@ -112,8 +113,8 @@ def test_training_rows_are_in_range(spark, feats, tables):
     assert out and all(r["n_outliers"] == 1 and r["detail"].startswith("sd_G=") for r in out)
 
 
-def test_fold_metrics_summary(spark, tables):
-    f = spark.read.csv(str(tables / "reports/phase3_cv_fold_metrics.csv"), header=True, inferSchema=True)
+def test_fold_metrics_summary(spark, golden):
+    f = spark.read.csv(golden("inner_cv_accuracy"), header=True, inferSchema=True)
     m = ["accuracy", "recall", "specificity", "kappa"]
     f = f.withColumn("name", F.lit("x"))
     s, p = M.fold_summary(f, ["name"], m).first(), M.fold_summary(f, ["name"], m, sample=False).first()
@@ -125,26 +126,26 @@ def test_fold_metrics_summary(spark, tables):
         assert p[f"{k}_sd"] == pytest.approx(pop, abs=1e-6)
 
 
-def test_fold_metrics_from_predictions(spark, oof, tables):
+def test_fold_metrics_from_predictions(spark, oof, golden):
     per = M.confusion(oof, F.col("y_true"), F.col("y_pred"), ["fold"])
     r = M.rates(zero_division=0)
     got = {x["fold"]: x for x in per.select("fold", *[r[m].alias(m) for m in ("accuracy", "kappa", "f1")]).collect()}
-    want = spark.read.csv(str(tables / "reports/phase3_cv_fold_metrics.csv"), header=True, inferSchema=True).collect()
+    want = spark.read.csv(golden("inner_cv_accuracy"), header=True, inferSchema=True).collect()
     for w in want:
         for m in ("accuracy", "kappa", "f1"):
             assert got[w["fold"]][m] == pytest.approx(w[m], abs=1e-9)
 
 
-def test_leakage_gap(spark, tables):
-    g = spark.read.csv(str(tables / "reports/experiments/exp_featureset_leakage_gap.csv"), header=True, inferSchema=True)
+def test_leakage_gap(spark, golden):
+    g = spark.read.csv(golden("kappa_gap", "acc_gap"), header=True, inferSchema=True)
     gap = C.leakage_gap(g.select("k", F.col("kappa_infold").alias("kappa"), F.col("acc_infold").alias("accuracy")),
                         g.select("k", F.col("kappa_leaky").alias("kappa"), F.col("acc_leaky").alias("accuracy")))
     m = gap.agg(F.avg("kappa_gap"), F.avg("accuracy_gap"), F.count("*")).first()
     assert m[0] == pytest.approx(.037881, abs=1e-6) and m[1] == pytest.approx(.018636, abs=1e-6) and m[2] == 22
 
 
-def test_stress_delta(spark, tables):
-    f = spark.read.csv(str(tables / "reports/experiments/exp_features.csv"), header=True, inferSchema=True)
+def test_stress_delta(spark, golden):
+    f = spark.read.csv(golden("condition", "folds_better"), header=True, inferSchema=True)
     d = C.stress_delta(f.where("condition = 'as-measured'"), f.where("condition like 'exposure%'"))
     rows = d.collect()
     assert len(rows) == 30
@@ -153,23 +154,23 @@ def test_stress_delta(spark, tables):
     assert worst["name"] == "4a quantile(in-fold) RF sel10" and worst["delta"] == pytest.approx(-.019458, abs=1e-6)
 
 
-def test_t_pvalues(spark, tables):
-    f = spark.read.csv(str(tables / "reports/experiments/exp_classifiers.csv"), header=True, inferSchema=True)
+def test_t_pvalues(spark, golden):
+    f = spark.read.csv(golden("d_kappa_t"), header=True, inferSchema=True)
     rows = f.where("d_kappa_t is not null").select("d_kappa_t", "d_kappa_p").collect()
     assert len(rows) > 20
     for r in rows:
         assert C.t_two_sided(r["d_kappa_t"], 24) == pytest.approx(r["d_kappa_p"], rel=1e-9)
 
 
-def test_comparison_passes(spark, tables):
-    f = spark.read.csv(str(tables / "reports/experiments/verify_finalists.csv"), header=True, inferSchema=True)
+def test_comparison_passes(spark, golden):
+    f = spark.read.csv(golden("wins", "losses", "sem"), header=True, inferSchema=True)
     got = {r["name"]: r["passes"] for r in M.ranked(f.drop("passes")).collect()}
     want = {r["name"]: r["passes"].replace("✓", "+").replace("✗", "-") for r in f.collect()}
     assert got == want
 
 
-def test_importance_tables(spark, tables):
-    f = spark.read.csv(str(tables / "reports/phase3_feature_importance.csv"), header=True, inferSchema=True)
+def test_importance_tables(spark, golden):
+    f = spark.read.csv(golden("feature", "mean_importance"), header=True, inferSchema=True)
     top = A.mean_importance(f.withColumnRenamed("mean_importance", "importance"), 3).collect()
     assert [r["feature"] for r in top] == [r["feature"] for r in f.limit(3).collect()]
     assert A.watch_list(f).first()["watched_max"] is None

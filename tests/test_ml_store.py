@@ -60,6 +60,23 @@ def test_quantile_transform_is_normal():
     assert np.allclose(L._inverse_normal(np.array([.5, .975, .025, .999])), [0, 1.959963985, -1.959963985, 3.090232306])
 
 
+def test_robust_distance_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, .5, 3]])
+    x[:12] += 25
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(200), flat=1.0))
+    got = A.robust_distance(df, "id", ["a", "b", "c", "flat"]).orderBy("id").toPandas().distance.to_numpy()
+    keep, last = np.ones(200, bool), None
+    for _ in range(10):
+        mean, cov = x[keep].mean(0), np.cov(x[keep].T, bias=True)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        det = np.linalg.slogdet(cov)[1]
+        if last is not None and det >= last - 1e-4:
+            break
+        last, keep = det, d2 <= np.quantile(d2, 0.9)
+    assert np.allclose(got, np.sqrt(d2)) and set(np.argsort(-got)[:12]) == set(range(12))
+
+
 def test_selection(data):
     df, _, _ = data
     record = []
@@ -158,8 +175,8 @@ def test_rejects(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).first()["problem"] == "pred_label,pred_conf,crop"
 
 
-def test_blob_debug_groups(spark, tables):
-    df = spark.read.csv(str(tables / "data/blob_features_debug.csv"), header=True, inferSchema=True)
+def test_blob_debug_groups(spark, golden):
+    df = spark.read.csv(golden("severity", "hard_negative"), header=True, inferSchema=True)
     g = df.withColumn("group", S.severity_group(F.col("compactdry"), F.col("severity"), F.col("hard_negative")))
     assert {r[0] for r in g.select("group").distinct().collect()} <= {
         "positive_mild", "positive_severe", "negative_hard", "negative_clean", "positive_moderate"}
