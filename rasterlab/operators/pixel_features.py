@@ -43,7 +43,7 @@ def prepared(px: DataFrame) -> DataFrame:
 
 
 def detect_blobs(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame, DataFrame]:
-    """(small sharp blobs, large blotches) as blob tables.
+    """(small sharp blobs, large blotches) as blob tables, by windows.
 
     ``px`` needs ``lum`` and ``roi``. Pixels near a large blotch are no small
     blobs.
@@ -54,7 +54,12 @@ def detect_blobs(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame
     base = R.residual_mask(base, "lum", "_fine", "roi", p.fine_k, p.fine_floor, "_f")
     # the filters over all pixels run once; what they find is sparse
     found = cut_lineage(base.where(F.col("_c") | F.col("_f")).select("image_id", "y", "x", "_c", "_f"))
-    found = found.repartition("image_id")
+    return _blobs(found.repartition("image_id"), p)
+
+
+def _blobs(found: DataFrame, p: BlobParams) -> tuple[DataFrame, DataFrame]:
+    """Blob tables from the pixels above the coarse (``_c``) and the fine
+    (``_f``) baseline."""
     coarse = K.label_runs(K.mask_runs(found.where("_c")), 4, p.height)
     large = K.area_filtered(K.blob_table(coarse), p.large_min)
     kept = coarse.join(large.select(*K.LABEL), K.LABEL, "left_semi")
@@ -63,6 +68,52 @@ def detect_blobs(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame
     return small, large
 
 
+def _line_sum(a: np.ndarray, k: int, mode: str) -> np.ndarray:
+    """Sums over k neighbours along the first axis."""
+    pad = [(k // 2, k // 2), (0, 0)]
+    c = np.cumsum(np.pad(np.pad(a, pad, mode=mode), [(1, 0), (0, 0)]), axis=0)
+    return c[k:] - c[:-k]
+
+
+def _above_baseline(lum, roi, k, sds, floor, mode):
+    """Pixels of the region above their k x k masked mean."""
+    box = lambda a: _line_sum(_line_sum(a, k, mode).T, k, mode).T
+    res = lum - box(lum * roi) / np.maximum(box(roi.astype(float)), 1e-6 * k * k)
+    return roi & (res > max(sds * res[roi].std(), floor)) if roi.any() else roi
+
+
+def _dense_udf(p: BlobParams):
+    """Filters that look at every pixel's surroundings, on whole frames.
+
+    A frame arrives as one array of ``position << 24 | rgb``; its texture and
+    the few pixels above the baselines go back.
+    """
+    byte = np.arange(256) / 255.0
+    light = np.where(byte <= 0.04045, byte / 12.92, ((byte + 0.055) / 1.055) ** 2.4)
+    mode = "symmetric" if p.edge == "reflect" else "constant"
+
+    @F.pandas_udf("texture double, hits array<bigint>")
+    def scan(cells: pd.Series, hs: pd.Series, ws: pd.Series) -> pd.DataFrame:
+        texture, hits = [], []
+        for cell, h, w in zip(cells, hs, ws):
+            rgb = np.zeros(h * w, np.int64)
+            rgb[cell >> 24] = cell & 0xFFFFFF
+            r, g, b = (((rgb >> s) & 255).reshape(h, w) for s in (16, 8, 0))
+            y, x = np.mgrid[0:h, 0:w]
+            roi = np.sqrt((x - h * P.ROI_CENTER[0]) ** 2 + (y - h * P.ROI_CENTER[1]) ** 2) <= h * P.ROI_RADIUS
+            valid = roi & (np.maximum(np.maximum(r, g), b) < P.SATURATION)
+            bright = np.pad((light[r] + light[g] + light[b]) / 3.0, 1, mode="symmetric")
+            lap = bright[:-2, 1:-1] + bright[2:, 1:-1] + bright[1:-1, :-2] + bright[1:-1, 2:] - 4 * bright[1:-1, 1:-1]
+            texture.append(float(lap[valid].std()) if valid.any() else 0.0)
+            lum = r * 0.2126 + g * 0.7152 + b * 0.0722
+            coarse = _above_baseline(lum, roi, p.coarse_window, p.coarse_k, p.coarse_floor, mode)
+            fine = _above_baseline(lum, roi, p.fine_window, p.fine_k, p.fine_floor, mode)
+            at = np.flatnonzero(coarse | fine)
+            hits.append(at * 4 + coarse.ravel()[at] * 2 + fine.ravel()[at])
+        return pd.DataFrame({"texture": texture, "hits": hits})
+    return scan
+
+
 @F.pandas_udf(DoubleType())
 def _mean_nearest(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Mean distance to the nearest other point of the same array."""
@@ -125,22 +176,22 @@ def _share(values: str, beyond):
     return F.try_divide(F.size(F.filter(values, beyond)), F.size(values))
 
 
-def colour_stats(px: DataFrame) -> DataFrame:
-    """Colour, brightness, texture, anomaly-area and NDFI features per image.
-
-    One pass over the pixels: the values that need an order are gathered per
-    image - a frame's worth of numbers - and sorted there, so the median, the
-    MAD and the shares beyond it need no second look at the pixels.
-    """
+def _colour_aggs():
+    """Aggregates over prepared pixels; those that need an order gather a
+    frame's worth of numbers, to be sorted per image."""
     aggs = [F.avg(_only("valid", f"lin_{c}")).alias(f"mean_{c}") for c in "RGB"]
     aggs += [F.stddev_pop(_only("valid", f"lin_{c}")).alias(f"sd_{c}") for c in "RGB"]
-    out = R.laplacian(px, "bright").groupBy("image_id").agg(
-        *aggs, F.avg(_only("valid", "bright")).alias("brightness_mean"),
-        F.stddev_pop(_only("valid", "bright")).alias("brightness_sd"),
-        F.stddev_pop(_only("valid", "lap")).alias("texture"), F.avg(_only("roi", "ndfi")).alias("NDFI_mean"),
+    return aggs + [
+        F.avg(_only("valid", "bright")).alias("brightness_mean"),
+        F.stddev_pop(_only("valid", "bright")).alias("brightness_sd"), F.avg(_only("roi", "ndfi")).alias("NDFI_mean"),
         F.sort_array(F.collect_list(_only("valid", "bright"))).alias("_valid"),
         F.sort_array(F.collect_list(_only("roi", "bright"))).alias("_roi"),
-        F.sort_array(F.collect_list(_only("roi", "ndfi"))).alias("_ndfi"))
+        F.sort_array(F.collect_list(_only("roi", "ndfi"))).alias("_ndfi")]
+
+
+def _ordered_features(out: DataFrame, keep=()) -> DataFrame:
+    """Median, MAD, anomaly shares and percentiles from the sorted arrays; an
+    image without pixels in a mask gets zeros."""
     out = out.withColumn("_med", F.coalesce(_quantile("_valid", 0.5), F.lit(0.0)))
     out = out.withColumn("_dev", F.sort_array(F.transform("_valid", lambda v: F.abs(v - F.col("_med")))))
     out = out.withColumn("_spread", F.coalesce(_quantile("_dev", 0.5), F.lit(0.0)) * P.MAD_SCALE * P.ANOMALY_K)
@@ -149,15 +200,52 @@ def colour_stats(px: DataFrame) -> DataFrame:
         "A_low": _share("_roi", lambda v: v < F.col("_med") - F.col("_spread")),
         "F_p95": _quantile("_roi", 0.95), "F_p05": _quantile("_roi", 0.05),
         "NDFI_p95": _quantile("_ndfi", 0.95), "NDFI_p05": _quantile("_ndfi", 0.05)})
-    return out.select("image_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in out.columns
-                                    if c != "image_id" and not c.startswith("_")])
+    return out.select("image_id", *keep, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in out.columns
+                                           if c not in ("image_id", *keep) and not c.startswith("_")])
+
 
+def colour_stats(px: DataFrame) -> DataFrame:
+    """Colour, brightness, texture, anomaly-area and NDFI features per image,
+    with the texture by windows. One pass over the pixels."""
+    return _ordered_features(R.laplacian(px, "bright").groupBy("image_id").agg(
+        *_colour_aggs(), F.stddev_pop(_only("valid", "lap")).alias("texture")))
+
+
+def frame_stats(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame, DataFrame]:
+    """(the same features, pixels above the blob baselines) with each frame as
+    one value.
 
-def view_features(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame, DataFrame]:
-    """(one row of the 23 view features per image, its small blobs)."""
+    One aggregation by image is all that touches the pixels: no sort and no
+    window. The rows it leaves are small and are materialised.
+    """
+    rgb = F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")
+    cell = F.shiftleft((F.col("y") * F.col("w") + F.col("x")).cast("bigint"), 24) + rgb
+    out = px.groupBy("image_id").agg(*_colour_aggs(), F.collect_list(cell).alias("_cells"), F.max("h").alias("_h"),
+                                     F.max("w").alias("_w"))
+    out = out.withColumn("_d", _dense_udf(p)("_cells", "_h", "_w")).withColumn("texture", F.col("_d.texture"))
+    out = out.withColumns({"width": F.col("_w"), "hits": F.col("_d.hits")})
+    out = cut_lineage(_ordered_features(out, ["width", "hits"]))
+    at = F.shiftright("_hit", 2)
+    found = out.repartition("image_id").select("image_id", "width", F.explode("hits").alias("_hit")).select(
+        "image_id", F.floor(at / F.col("width")).cast("int").alias("y"), F.pmod(at, F.col("width")).cast("int").alias("x"),
+        (F.col("_hit").bitwiseAND(F.lit(2)) != 0).alias("_c"), (F.col("_hit").bitwiseAND(F.lit(1)) != 0).alias("_f"))
+    return out.drop("width", "hits"), found
+
+
+def view_features(px: DataFrame, p: BlobParams = BlobParams(), whole_frames: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(one row of the 23 view features per image, its small blobs).
+
+    ``whole_frames`` runs the neighbourhood filters on each frame as one value,
+    which is much faster; without it they run as windows over the pixel table,
+    which has no limit on the size of a frame.
+    """
     px = prepared(px)
-    small, large = detect_blobs(px, p)
-    colours = colour_stats(px)
+    if whole_frames:
+        colours, found = frame_stats(px, p)
+        small, large = _blobs(found, p)
+    else:
+        small, large = detect_blobs(px, p)
+        colours = colour_stats(px)
     out = colours.join(blob_summary(colours.select("image_id"), small, large), "image_id")
     return out.select("image_id", *P.VIEW_FEATURES), small
 

@@ -509,3 +509,12 @@ def view_features(spark, d):
                      large_min=5, height=N)
     feats, _ = V.view_features(X.rgb_pixels(spark, d), p)
     return _round(feats, *feats.columns[1:])
+
+
+@query("view_features_by_windows", VIEW_SQL)
+def view_features_by_windows(spark, d):
+    """The same features with every filter as a window over the pixel table."""
+    p = V.BlobParams(fine_window=3, coarse_window=5, fine_k=1.0, coarse_k=0.6, dilate=1, small_min=1, small_max=4,
+                     large_min=5, height=N)
+    feats, _ = V.view_features(X.rgb_pixels(spark, d), p, whole_frames=False)
+    return _round(feats, *feats.columns[1:])

@@ -213,6 +213,19 @@ def test_colour_features(spark):
     assert got[1]["mean_R"] == 0.0 and got[1]["texture"] == 0.0  # no valid pixel
 
 
+@pytest.mark.parametrize("edge", ["reflect", "zero"])
+def test_whole_frames_and_windows_agree(spark, edge):
+    imgs = [scene(60, (30, 31), 20, ((25, 25), (36, 30), (30, 38))), RNG.integers(0, 256, (60, 60, 3)),
+            np.full((60, 60, 3), 255)]
+    px = frame(spark, [i[..., 0] for i in imgs], **{c: [i[..., j].astype(int) for i in imgs] for j, c in enumerate("rgb")})
+    p = V.BlobParams(fine_window=11, coarse_window=31, dilate=2, small_min=3, small_max=60, large_min=61, height=60, edge=edge)
+    a, sa = V.view_features(px, p, True)
+    b, sb = V.view_features(px, p, False)
+    a, b = (f.toPandas().sort_values("image_id").set_index("image_id") for f in (a, b))
+    assert np.allclose(a.to_numpy(), b.to_numpy(), rtol=1e-9, atol=1e-12) and len(a) == 3
+    assert sa.count() == sb.count() > 0
+
+
 def test_hue_bytes(spark):
     rgb = [(200, 150, 40), (10, 10, 10), (0, 0, 0), (40, 60, 200), (255, 0, 10)]
     df = spark.createDataFrame(rgb, "r int, g int, b int")
