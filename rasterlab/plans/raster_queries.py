@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rasterlab.functions import colour as C
-from rasterlab.operators import components as K, pixel_features as V, raster as R, subject as S
+from rasterlab.operators import components as K, measure as H, pixel_features as V, raster as R, subject as S
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd
 
@@ -518,3 +518,18 @@ def view_features_by_windows(spark, d):
                      large_min=5, height=N)
     feats, _ = V.view_features(X.rgb_pixels(spark, d), p, whole_frames=False)
     return _round(feats, *feats.columns[1:])
+
+
+@query("measured_heads")
+def measured_heads(spark, d):
+    """Photos to scan-ready heads: each pair of frames is a head's UV and
+    visible photo."""
+    px = X.rgb_pixels(spark, d)
+    uv = F.col("image_id") % 2 == 0
+    px = px.withColumns({"code": F.expr("image_id div 2").cast("string"), "kind": F.when(uv, "uv").otherwise("visible"),
+                         "view": F.when(uv, "V1").otherwise("VISIBLE"), "crop": F.lit("onion")})
+    masks = {("onion", "uv"): lambda p: S.uv_mask(p, 1.5), ("onion", "visible"): lambda p: S.visible_mask(p, 1.2)}
+    found = H.found_subjects(px, masks)
+    p = V.BlobParams(fine_window=3, coarse_window=5, fine_k=1.0, coarse_k=0.6, dilate=1, small_min=1, small_max=4,
+                     large_min=5, height=N)
+    return H.head_features(px, found, 1, p, N).join(H.capture_checks(found).drop("failed"), "code")

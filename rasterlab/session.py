@@ -18,6 +18,8 @@ def session(master: str | None = None, **conf) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         # frames already hashed by image keep that layout in (image, y, x) joins
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # a group that gathers a frame is tens of megabytes: keep few at once, then sort
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
