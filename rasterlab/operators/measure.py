@@ -8,33 +8,40 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterlab import params as P
 from rasterlab.functions import rules as R
-from rasterlab.operators import pixel_features as V, quality as Q, raster, scans as T, subject as S
+from rasterlab.operators import components as K, pixel_features as V, quality as Q, raster, scans as T, subject as S
 from rasterlab.session import cut_lineage
 
 PHOTO = ["image_id", "code", "view", "crop", "kind"]
 MIN_AREA = {("garlic", "visible"): P.GARLIC_VISIBLE_MIN_AREA_FRAC}
 
 
-def found_subjects(px: DataFrame, masks=None) -> DataFrame:
+def found_subjects(px: DataFrame, masks=None, photos: DataFrame | None = None) -> DataFrame:
     """One record per photo: its detection and background level.
 
     Each (crop, kind) has its own mask rule, each frame size its own kernels.
-    The records are small and are materialised, so the frames are decoded
-    again only for cropping.
+    The cleaned masks are materialised as runs - a few per frame row - and the
+    records as rows, so the pixels are gone over once for the mask and once
+    for the background. ``photos`` is one row per photo with the columns above
+    and ``h``, ``w``; without it they are taken from the pixels.
     """
     masks = masks or S.MASKS
+    photos = cut_lineage((px if photos is None else photos).select(*PHOTO, "h", "w").distinct())
 
     def one_size(part: DataFrame, h: int, w: int) -> DataFrame:
         out = None
         for (crop, kind), rule in masks.items():
-            clean = S.cleaned(rule(part.where((F.col("crop") == crop) & (F.col("kind") == kind))), h, w)
-            det = S.detection(clean, h, w, MIN_AREA.get((crop, kind), P.MIN_AREA_FRAC))
-            rec = det.join(S.background_level(S.object_mask(clean, h, w)), "image_id", "left")
-            rec = rec.withColumns({"frame_h": F.lit(h), "frame_w": F.lit(w)})
+            def mine(df):
+                return df.where((F.col("crop") == crop) & (F.col("kind") == kind) & (F.col("h") == h) & (F.col("w") == w))
+            mine_px = mine(part)
+            runs = cut_lineage(K.mask_runs(S.cleaned(rule(mine_px), h, w).where("mask")))
+            det = S.detection(mine_px, h, w, MIN_AREA.get((crop, kind), P.MIN_AREA_FRAC), runs=runs,
+                              images=mine(photos).select("image_id"))
+            level = S.background_level(S.object_mask(mine_px, h, w, runs))
+            rec = det.join(level, "image_id", "left").withColumns({"frame_h": F.lit(h), "frame_w": F.lit(w)})
             out = rec if out is None else out.unionByName(rec)
         return out
-    photos = px.select(*PHOTO).distinct()
-    return cut_lineage(photos.join(S.by_frame_size(px, one_size), "image_id"))
+    records = S.by_frame_size(px, one_size, photos)
+    return cut_lineage(photos.select(*PHOTO).join(records, "image_id"))
 
 
 def head_features(px: DataFrame, found: DataFrame, n_views: int = 1, blobs: V.BlobParams = V.BlobParams(),

@@ -84,9 +84,9 @@ def cleaned(px: DataFrame, h: int, w: int) -> DataFrame:
     return R.opened(R.closed(px, "mask", 2 * k + 1), "mask", k)
 
 
-def largest(px: DataFrame, h: int, w: int) -> tuple[DataFrame, DataFrame]:
-    """(runs of the mask labelled, the largest component of each image)."""
-    runs = K.label_runs(K.mask_runs(px.where("mask")), 8, h)
+def largest(runs: DataFrame, h: int) -> tuple[DataFrame, DataFrame]:
+    """(labelled runs, the largest component of each image) of mask runs."""
+    runs = K.label_runs(runs, 8, h)
     blobs = K.blob_table(runs)
     best = F.max(F.struct(F.col("area"), (-F.col("ly")).alias("a"), (-F.col("lx")).alias("b"),
                           F.struct("ly", "lx", "left", "right", "top", "bottom").alias("box"))).alias("_b")
@@ -94,13 +94,16 @@ def largest(px: DataFrame, h: int, w: int) -> tuple[DataFrame, DataFrame]:
 
 
 def detection(px: DataFrame, h: int, w: int, min_area: float = P.MIN_AREA_FRAC,
-              min_radius: float | None = P.MIN_RADIUS_FRAC, max_radius: float | None = P.MAX_RADIUS_FRAC) -> DataFrame:
+              min_radius: float | None = P.MIN_RADIUS_FRAC, max_radius: float | None = P.MAX_RADIUS_FRAC,
+              runs: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """One record per image: where the subject is, or why it was not found.
 
-    A failed record carries the centred fallback circle instead.
+    A failed record carries the centred fallback circle instead. ``runs`` are
+    the runs of ``mask`` and ``images`` the list of images, where the caller
+    has them already.
     """
-    _, big = largest(px, h, w)
-    images = px.select("image_id").distinct()
+    _, big = largest(K.mask_runs(px.where("mask")) if runs is None else runs, h)
+    images = px.select("image_id").distinct() if images is None else images
     d = images.join(big, "image_id", "left")
     bw, bh = F.col("right") - F.col("left") + 1, F.col("bottom") - F.col("top") + 1
     radius = F.greatest(bw, bh) / 2.0
@@ -150,9 +153,10 @@ def padding(px: DataFrame, detected: DataFrame, h: int, w: int, radius_frac: flo
     return share.join(c.select("image_id", out.alias("padded")), "image_id")
 
 
-def object_mask(px: DataFrame, h: int, w: int) -> DataFrame:
-    """``mask`` narrowed to the largest component, closed once more."""
-    runs, big = largest(px, h, w)
+def object_mask(px: DataFrame, h: int, w: int, runs: DataFrame | None = None) -> DataFrame:
+    """``mask`` narrowed to the largest component, closed once more; with the
+    ``runs`` of the mask the pixels need no mask of their own."""
+    runs, big = largest(K.mask_runs(px.where("mask")) if runs is None else runs, h)
     kept = runs.join(big.select(*K.LABEL), K.LABEL, "left_semi")
     return R.closed(K.marked(px.drop("mask"), kept, "mask"), "mask", 3 * R.kernel_scale(h, w))
 
@@ -176,12 +180,13 @@ def subject_masks(px: DataFrame, masks=None) -> DataFrame:
     return out
 
 
-def by_frame_size(px: DataFrame, fn) -> DataFrame:
+def by_frame_size(px: DataFrame, fn, photos: DataFrame | None = None) -> DataFrame:
     """Apply ``fn(pixels, h, w)`` to the images of each frame size.
 
-    Frame sizes are sensor formats, so there are few of them.
+    Frame sizes are sensor formats, so there are few of them. ``photos``, one
+    row per image with its ``h`` and ``w``, spares a pass over the pixels.
     """
-    sizes = px.select("h", "w").distinct().collect()
+    sizes = (px if photos is None else photos).select("h", "w").distinct().collect()
     out = None
     for s in sizes:
         part = fn(px.where((F.col("h") == s["h"]) & (F.col("w") == s["w"])), s["h"], s["w"])
