@@ -182,10 +182,10 @@ def domain_checks(spark, d):
 
 
 @query("code_validation", """
-  SELECT page_id, CASE WHEN host = '' THEN 'code_required' WHEN length(host) > 32 THEN 'code_too_long' END AS problem
-  FROM (SELECT page_id, trim(regexp_extract(url, '[?]page=([0-9]+)', 1) || substr(url, 20, 30)) AS host FROM pages)""")
+  SELECT page_id, CASE WHEN NOT contains(url, '?') THEN 'code_required' WHEN length(url) > 32 THEN 'code_too_long' END AS problem
+  FROM pages""")
 def code_validation(spark, d):
-    code = F.concat(F.regexp_extract("url", "[?]page=([0-9]+)", 1), F.substring("url", 20, 30))
+    code = F.when(F.contains(F.col("url"), F.lit("?")), F.col("url")).otherwise("  ")
     return table(spark, d, "pages").select(
         "page_id", R.code_problem(code, F.lit(None).cast("string"), F.lit("research")).alias("problem"))
 

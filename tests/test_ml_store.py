@@ -223,3 +223,35 @@ def test_queries_have_rows(spark):
 
 def test_bar():
     assert P.PASS_BAR == {"accuracy": 0.80, "recall": 0.80, "kappa": 0.61}
+
+
+def test_variant_registries(spark, golden):
+    from rasterlab.operators import variants as N
+    for methods in (N.classifiers(), N.imbalance(), N.finalists(), N.boosting_settings(), N.selections(24)):
+        names = [m.name for m in methods]
+        assert len(names) == len(set(names)) and all(callable(m.fit) for m in methods)
+    path = golden("sample_code", "sd_G", "compactdry")
+    cols = open(path).readline().strip().split(",")
+    df = Tb.read_features(spark, path, Tb.feature_schema(cols[1:-1])).withColumnsRenamed({"sample_code": "id", "compactdry": "y"})
+    tables = N.feature_tables(df, ["sd_G", "A_high", "blob_max"], cols[1:-1])
+    width = {n: len(t.columns) - 2 for n, t in tables.items()}
+    assert width["selected"] == 3 and width["all"] == 24
+    assert width["ratio all"] == 23 and width["ratio + reference"] == 4  # the reference itself goes, or is kept
+    assert width["intensity free"] == 13 and width["intensity only"] == 11 and width["intensity free + contrast"] == 17
+    assert "mean_G/brightness_mean" in tables["ratio all"].columns and tables["ratio + reference"].columns[-1] == "brightness_mean"
+    assert tables["intensity free + contrast"].count() == 60
+    moved = N.stressed(df, "id", 1).join(df.select("id", F.col("sd_G").alias("g"), F.col("A_high").alias("a")), "id")
+    r = moved.agg(F.min(F.col("sd_G") / F.col("g")), F.max(F.col("sd_G") / F.col("g")), F.max(F.abs(F.col("A_high") - F.col("a")))).first()
+    assert 0.85 <= r[0] < r[1] <= 1.15 and r[2] == 0
+
+
+def test_boosting_on_the_published_table(spark, golden):
+    """One shuffle of the 60 rows; the published kappa over 20 is .62 +- .2 per fold."""
+    import json
+    path = golden("sample_code", "sd_G", "compactdry")
+    cols = open(path).readline().strip().split(",")
+    chosen = json.loads(open(golden("dropped_correlated")).read())["features"]
+    df = Tb.read_features(spark, path, Tb.feature_schema(cols[1:-1])).withColumnsRenamed({"sample_code": "id", "compactdry": "y"})
+    scored = L.evaluate(L.assembled(df, chosen), [L.Method("boost", L.boosting(2, 20, 0.2))], 1, 5)
+    s = L.compared(scored).first()
+    assert s["auc"] > 0.75 and s["accuracy"] > 0.65 and s["kappa"] > 0.3
