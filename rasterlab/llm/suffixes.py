@@ -370,7 +370,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     from pyspark.sql.types import StringType
 
-    cut = F.udf(lambda t, s: kept_text(t.encode(), merged(s)), StringType())
+    cut = F.udf(lambda t, s: t and kept_text(t.encode(), merged(s)), StringType())
     d = _with_spans(docs, width).withColumn("kept", F.when(
         F.col("spans").isNotNull() & F.col("text").isNotNull(), cut("text", "spans")).otherwise(F.col("text")))
     new = {"text": F.col("kept")}
