@@ -32,7 +32,9 @@ LONGEST = 256        # a longer word is cut
 DICT_BYTES = 16384   # of each dictionary
 CALIBRATION = 3      # one in so many sampled documents is for the thresholds, not for the dictionaries
 LETTERS = 4, 5, 6    # first bytes of a word that can be telling
-TELLING = 0.01      # share of toxic texts that must hold a word before the toxic dictionary learns it
+TELLING = 0.01       # share of toxic texts that must hold a word, or its first bytes, to learn it
+LEAST = 7            # and so many toxic texts
+TIMES = 12           # so many times the share of ordinary texts that hold it
 HITS = 1, 2, 3, 4, 6  # distances from which windows are counted; calibration weighs them
 
 
@@ -105,7 +107,10 @@ class Model:
 
 
 def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words of the toxic texts whose first letters many of them and hardly any ordinary ones hold, rarest first."""
+    """Words that toxic texts hold ``TIMES`` as often as ordinary ones, rarest first.
+
+    Words that few texts hold count if their first letters are telling.
+    """
     def held(texts):
         words, starts = Counter(), Counter()
         for t in texts:
@@ -116,9 +121,10 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     toxic, ordinary = apart(toxic), apart(ordinary)
     (words, t), (plain, o) = held(toxic), held(ordinary)
     share = (len(toxic) + 1) / (len(ordinary) + 1)
-    least = max(3, TELLING * len(toxic))
-    telling = {s for s, n in t.items() if n >= least and n > 30 * share * (o[s] + 0.25)}
-    return sorted((w for w in words if not plain[w] and any(w[:n] in telling for n in LETTERS)), key=lambda w: (words[w], w))
+    least = max(LEAST, TELLING * len(toxic))
+    starts = {s for s, n in t.items() if n >= least and n > 30 * share * (o[s] + 0.25)}
+    return sorted((w for w, n in words.items() if n > TIMES * share * plain[w] and (
+        any(w[:k] in starts for k in LETTERS) or n >= least and n > TIMES * share * (plain[w] + 0.25))), key=lambda w: (words[w], w))
 
 
 def apart(texts: list[str]) -> list[str]:
