@@ -30,9 +30,23 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stashes(spark).append(path)
+    spark._jvm.System.gc()  # shuffle files of the finished write go when its plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stash(df: DataFrame) -> None:
+    """Remove the stored table that ``df`` reads, once nothing that is still to run needs it."""
+    spark = df.sparkSession
+    for path in [p for p in _stashes(spark) if any(p.rpartition("/")[2] in f for f in df.inputFiles()[:1])]:
+        _delete(spark, path)
+        _stashes(spark).remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+
+
 def _stashes(spark: SparkSession) -> list[str]:
     return spark.__dict__.setdefault("_stash_paths", [])
 
@@ -41,8 +55,7 @@ def drop_stashes(spark: SparkSession) -> int:
     """Remove the tables that operators stored, once their results are written."""
     paths = _stashes(spark)
     for p in paths:
-        hp = spark._jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+        _delete(spark, p)
     n = len(paths)
     paths.clear()
     return n

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlab.llm.common import in_batches, partitions, pick, stash
+from rasterlab.llm.common import drop_stash, in_batches, partitions, pick, stash
 
 WIDTH = 200
 GRAM = 32
@@ -294,6 +294,7 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     p = stash(_pieces(texts, width))
     kinds = p.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
     again = stash(p.join(kinds, "anchor").select("text_md5", "anchor", "stretch", "first", "last", (F.col("low") == F.col("high")).alias("whole")))
+    drop_stash(p)
     mixed = again.where("not whole")
     one = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("text_md5", "first", "last")).alias("of"))
     one = one.select("of.*", "anchor", "stretch", (F.col("n") > 1).alias("many"))
