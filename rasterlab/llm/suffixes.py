@@ -29,6 +29,7 @@ from rasterlab.llm.common import drop_stash, in_batches, partitions, pick, stash
 
 WIDTH = 200
 GRAM = 32
+HOT_SHARE = 1000         # an anchor string with more than one in so many of all anchors is hot
 CHUNK = 1 << 17          # bytes that are hashed at once
 SORT_BYTES = 1 << 20     # stretches sorted at once, as whole anchor groups
 GROUP = 8192             # stretches of one anchor string that one task sorts; more are compared window by window
@@ -286,6 +287,16 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return in_batches(joined, run, "anchor long, stretch long, bytes binary, many boolean")
 
 
+def _joined(p: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``p`` with the counts of its anchors; anchors with over a thousandth of all rows (so at most a
+    thousand of them) come by broadcast, so no task has to hold one."""
+    kinds = stash(kinds)
+    most = p.count() // HOT_SHARE
+    hot = F.broadcast(kinds.where(F.col("n") > most))
+    usual = p.join(hot, "anchor", "left_anti")
+    return p.join(hot, "anchor").unionByName(usual.join(kinds.where(F.col("n") <= most), "anchor"))
+
+
 def repeated_spans(texts: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """(text_md5, spans): for every text with repeats, the byte ranges (a, z) that they cover.
 
@@ -293,7 +304,7 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     """
     p = stash(_pieces(texts, width))
     kinds = p.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    again = stash(p.join(kinds, "anchor").select("text_md5", "anchor", "stretch", "first", "last", (F.col("low") == F.col("high")).alias("whole")))
+    again = stash(_joined(p, kinds).select("text_md5", "anchor", "stretch", "first", "last", (F.col("low") == F.col("high")).alias("whole")))
     drop_stash(p)
     mixed = again.where("not whole")
     one = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("text_md5", "first", "last")).alias("of"))
