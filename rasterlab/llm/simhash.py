@@ -204,20 +204,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the smallest doc_id, once.
 
-    Rows with that doc_id that repeat (whatever their text) are one document; of rows without doc_id one
-    stays if their component has no row with one.
+    Rows that repeat a doc_id are one document (whichever of their rows comes first stays, if their
+    texts differ). A component without any doc_id keeps one of its texts.
     """
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"),
-                    F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = stash(d)
-    f = stash(in_batches(d.select("row", "doc_id", "text"), lambda rows, keys, texts: {
-        "row": rows, "doc_id": keys, "fp": [_signed(fingerprint(t)) for t in texts]}, "row long, doc_id long, fp long"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"),
+                    F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    f = stash(in_batches(d.select("key", "doc_id", "text"), lambda keys, ids, texts: {
+        "key": keys, "doc_id": ids, "fp": [_signed(fingerprint(t)) for t in texts]}, "key string, doc_id long, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     nodes = stash(f.groupBy("fp").agg(F.min(order).alias("low")))
     of = components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("a", "fp")
     roots = nodes.join(of, "fp", "left").groupBy(F.coalesce("b", "fp").alias("root")).agg(F.min("low").alias("low"))
-    keep = roots.select(F.col("low.row").alias("row"))
-    return d.join(keep, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    kept = d.select("key", "doc").join(roots.select("low.key"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def _signed(x: int) -> int:
