@@ -319,7 +319,7 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     spans = again.where("whole").select("text_md5", F.col("first").alias("a"), (F.col("last") + width).alias("z")).unionByName(
         mixed.join(runs, ["anchor", "stretch"]).select(
             "text_md5", (F.col("first") + F.col("run_first")).alias("a"), (F.col("first") + F.col("run_last") + width).alias("z")))
-    return spans.distinct().groupBy("text_md5").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    return stash(spans.distinct().groupBy("text_md5").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
 
 
 def merged(spans) -> list[tuple[int, int]]:
