@@ -42,6 +42,21 @@ def drop_stash(df: DataFrame) -> None:
         _stashes(spark).remove(path)
 
 
+def stashed(spark: SparkSession) -> list[str]:
+    """The stored tables that are still there."""
+    return list(_stashes(spark))
+
+
+def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Remove those of ``paths`` that ``docs`` does not read."""
+    files = docs.inputFiles() if paths else []
+    for path in [p for p in paths if not any(p.rpartition("/")[2] in f for f in files)]:
+        if path in _stashes(spark):
+            _delete(spark, path)
+            _stashes(spark).remove(path)
+        paths.remove(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hp = spark._jvm.org.apache.hadoop.fs.Path(path)
     hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
