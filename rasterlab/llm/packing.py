@@ -23,36 +23,67 @@ LENGTH = 4096
 CLOSING_ID = 1
 TASK_ITEMS = 20_000  # items that one task packs
 NEARLY = 8           # a bin with at most so many free places is emitted
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000  # cached words of each half of a worker's cache
+MARKS = ".,;:!?"       # marks that may follow a word; each is a run of its own
 
 
 class WordTokens:
-    """Ids of a text, word by word: the tokenizer drops blanks, so words between them do not interact."""
+    """Ids of a text, word by word: the tokenizer drops blanks, so words between them do not interact.
+
+    Words of letters are one run for the tokenizer, and a mark after them is another, so new words of
+    letters are encoded together and cut where a run ends.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.t.get_vocab_size(), bool)
+        self.ends[[i for p, i in self.t.get_vocab().items() if p.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").split(" ")
-        get = self.young.get
-        parts = [get(w) for w in words]
+        parts = list(map(self.young.get, words))
         if None in parts:
-            miss = list(dict.fromkeys(w for w, p in zip(words, parts) if p is None))
-            new = [w for w in miss if w not in self.old]
-            got = {w: np.array(e.ids, "<u4").tobytes() for w, e in
-                   zip(new, self.t.encode_batch_fast(new, add_special_tokens=False))}
-            got.update((w, self.old[w]) for w in miss if w not in got)
+            got = self._new({w for w, p in zip(words, parts) if p is None})
             parts = [got[w] if p is None else p for w, p in zip(words, parts)]
-            if len(self.young) + len(got) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-            self.young.update((w, b) for w, b in got.items() if len(w) <= 64)
         return b"".join(parts)
 
+    def _new(self, missed: set[str]) -> dict[str, bytes]:
+        got = {w: b for w in missed if (b := self.old.get(w)) is not None}
+        marked = {w: w[:-1] for w in missed - got.keys() if w[-1:] in MARKS and w[:-1].isalpha()}
+        left = (missed - got.keys() - marked.keys()) | {m for m in MARKS if m not in self.young}
+        stems = {}
+        for s in set(marked.values()):
+            b = self.young.get(s) or self.old.get(s)
+            if b is None:
+                left.add(s)
+            else:
+                stems[s] = b
+        letters = sorted(w for w in left if w.isalpha())
+        for w, e in zip(letters, self._together(letters) if letters else []):
+            got[w] = e
+        others = [w for w in left if w not in got]
+        for w, e in zip(others, self.t.encode_batch_fast(others, add_special_tokens=False)):
+            got[w] = np.array(e.ids, "<u4").tobytes()
+        for w, s in marked.items():
+            got[w] = (stems.get(s) or got[s]) + (self.young.get(w[-1]) or got[w[-1]])
+        if len(self.young) + len(got) > CACHE_WORDS:
+            self.old, self.young = self.young, {m: b for m in MARKS if (b := self.young.get(m))}
+        self.young.update((w, b) for w, b in got.items() if len(w) <= 64)
+        return got
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cut) != len(words):  # a letter that the tokenizer's normal form takes apart
+            return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cut], cut)]
+
 
 @functools.lru_cache(2)
 def tokens(path: str) -> WordTokens:
