@@ -90,7 +90,7 @@ def boosting(depth: int = 2, rounds: int = 100, rate: float = 0.1, subsample: fl
         minInstancesPerNode=min_leaf, seed=seed), weights, threshold)
 
 
-def forest(trees: int = 400, min_leaf: int = 1, weights=None, threshold: float = 0.5, depth: int = 10) -> Fit:
+def forest(trees: int = 400, min_leaf: int = 1, weights=None, threshold: float = 0.5, depth: int = 30) -> Fit:
     return _classifier(lambda d, seed: RandomForestClassifier(
         labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed),
         weights, threshold)

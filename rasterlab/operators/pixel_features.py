@@ -125,7 +125,7 @@ def _mean_nearest(xs: pd.Series, ys: pd.Series) -> pd.Series:
         for i in range(0, n, 256):  # blocks bound the memory of one image
             d = ((pts[i:i + 256, None, :] - pts[None, :, :]) ** 2).sum(-1)
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            best[i:i + 1024] = d.min(axis=1)
+            best[i:i + len(d)] = d.min(axis=1)
         out.append(float(np.sqrt(best).mean()) if n > 1 else None)
     return pd.Series(out)
 

@@ -46,11 +46,11 @@ def record_truth(scans: DataFrame, patches: DataFrame, recorded_at: Column | Non
     """New snapshot with lab results set or cleared.
 
     ``patches`` is (id, compactdry_truth, patched_at): the last patch per id
-    wins, and an explicit NULL clears both the result and its time.
+    wins (of equal times the larger result), and an explicit NULL clears both the result and its time.
     """
     last = patches.groupBy("id").agg(
         F.max_by(F.struct(F.col("compactdry_truth").alias("t"), F.col("patched_at").alias("at")),
-                 "patched_at").alias("_p"))
+                 F.struct("patched_at", "compactdry_truth")).alias("_p"))  # equal times: the larger result
     hit = F.col("_p").isNotNull()
     stamp = recorded_at if recorded_at is not None else F.col("_p.at")
     truth = F.when(hit, F.col("_p.t")).otherwise(F.col("compactdry_truth"))
@@ -158,7 +158,7 @@ def training_rows(scans: DataFrame, required: list[str], crop="onion", exclude:
 def latest_prediction(samples: DataFrame, predictions: DataFrame, key="sample_code", order="row_id") -> DataFrame:
     """Samples with their prediction; the last duplicate wins."""
     last = predictions.groupBy(key).agg(
-        F.max_by(F.struct("y_pred", "y_proba"), order).alias("_p"))
+        F.max_by(F.struct("y_pred", "y_proba"), F.struct(order, "y_proba", "y_pred")).alias("_p"))
     return samples.join(last, key, "left").select(
         *samples.columns, F.col("_p.y_pred").alias("pred_label"), F.col("_p.y_proba").alias("pred_proba"))
 
