@@ -52,29 +52,24 @@ def oof_average(scored: DataFrame, id_: str, score: str = "score", keep=()) -> D
 CELLS = ["tn", "fp", "fn", "tp"]
 
 
-def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int, by_row: bool | None = None,
-                     seed: int = 0, max_draws: float = 1e9) -> DataFrame:
+def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int) -> DataFrame:
     """(replicate, tn, fp, fn, tp) of ``replicates`` resamples with return.
 
     Only the four counts matter, so rows are thought of as numbered cell by
     cell and a drawn number falls into a cell by comparison: draws never meet
-    rows. Beyond ``max_draws`` draws the counts come from the multinomial law
-    those draws follow, one draw per replicate.
+    rows. Draw i of a replicate is a hash of both numbers, at every size; the
+    draws are a range that tasks count before anything is shuffled. An empty
+    table has no replicates.
     """
-    spark = df.sparkSession
     c = df.groupBy().agg(F.count_if((y == 0) & (pred == 0)).alias("tn"),
                          F.count_if((y == 0) & (pred == 1)).alias("fp"),
                          F.count_if((y == 1) & (pred == 0)).alias("fn"),
                          F.count_if((y == 1) & (pred == 1)).alias("tp")).first()
     sizes = [c[k] for k in CELLS]
     n = sum(sizes)
-    if by_row is None:
-        by_row = n * replicates <= max_draws
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
-    if not by_row:
-        return _multinomial_counts(reps, sizes, seed)
-    draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    idx = F.pmod(hash32(F.col("replicate"), F.col("i")), F.lit(n))
+    draws = df.sparkSession.range(replicates * n).select(
+        F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("i"))
+    idx = F.pmod(hash32(F.col("replicate"), F.col("i")), F.lit(max(n, 1)))
     aggs, lo = [], 0
     for name, size in zip(CELLS, sizes):
         aggs.append(F.count_if((F.col("idx") >= lo) & (F.col("idx") < lo + size)).alias(name))
@@ -82,21 +77,6 @@ def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int, by
     return draws.select("replicate", idx.alias("idx")).groupBy("replicate").agg(*aggs)
 
 
-def _multinomial_counts(reps: DataFrame, sizes: list[int], seed: int) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    n = sum(sizes)
-    share = [s / n for s in sizes]
-
-    @F.pandas_udf("array<bigint>")
-    def draw(rep: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(r)]).multinomial(n, share) for r in rep])
-
-    drawn = reps.withColumn("_d", draw("replicate"))
-    return drawn.select("replicate", *[F.get("_d", F.lit(i)).alias(c) for i, c in enumerate(CELLS)])
-
-
 def bootstrap_interval(counts: DataFrame, metrics=("kappa", "accuracy", "specificity", "recall"),
                        bar=P.PASS_BAR) -> DataFrame:
     """Mean, 95 % interval and share at or above the bar, per metric.

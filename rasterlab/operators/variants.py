@@ -1,6 +1,12 @@
-"""Named methods ready for ``ml.evaluate``, grouped by the question they answer."""
+"""Methods for ``ml.evaluate``, generated from axes: estimator x class weight x treatment x cut.
 
-from pyspark.sql import DataFrame
+A method's name is the names of its axes' values, joined by `` | ``; plain values are left out.
+"""
+
+from collections.abc import Callable, Iterable
+from itertools import combinations, product
+
+from pyspark.sql import DataFrame, functions as F
 
 from rasterlab import params as P
 from rasterlab.functions import scalar as S
@@ -13,117 +19,138 @@ SVM_GRID = [0.03, 0.1, 0.3, 1, 3, 10]
 NEIGHBOUR_GRID = [3, 5, 7, 9, 11, 15]
 POSITIVE_WEIGHTS = [0.4, 0.5, 0.6, 0.714, 0.8, 1.4]
 FIXED_CUTS = [0.55, 0.6, 0.65]
-TREES, BAGGED_TREES, BAG_MEMBERS, INNER, INNER_REPEATS = 400, 150, 15, 5, 2
-BOOSTING_SETTINGS = [(2, 100, 0.1), (2, 50, 0.2), (1, 100, 0.1), (2, 200, 0.05), (3, 100, 0.1)]
+TREES, BAG_MEMBERS, INNER, INNER_REPEATS = 400, 15, 5, 2
+
+Make = Callable[..., L.Fit]
+Wrap = Callable[[L.Fit], L.Fit]
+
+#: estimators that take class weights
+WEIGHTED: dict[str, Make] = {
+    "forest": lambda w=None: L.forest(TREES, weights=w),
+    "forest leaf 2": lambda w=None: L.forest(TREES, 2, weights=w),
+    "logistic": lambda w=None: L.logistic(1.0, weights=w),
+    "boosting d1": lambda w=None: L.boosting(1, 100, 0.1, weights=w),
+    "boosting d2": lambda w=None: L.boosting(2, 100, 0.1, weights=w),
+}
+#: estimators that take none; the tuned ones search their grid inside the fold
+PLAIN: dict[str, Make] = {
+    "svm": lambda: L.linear_svm(1.0),
+    "naive bayes": lambda: L.gaussian_nb(),
+    "nearest": lambda: L.nearest(5),
+    "svm tuned": lambda: tuned(L.linear_svm, [(c,) for c in SVM_GRID]),
+    "logistic tuned": lambda: tuned(L.logistic, [(c,) for c in L2_GRID]),
+    "logistic L1 tuned": lambda: tuned(L.logistic, [(c, True) for c in L1_GRID]),
+    "nearest tuned": lambda: tuned(L.nearest, list(product(NEIGHBOUR_GRID, (False, True)))),
+}
+WEIGHTS: dict[str, object] = {"": None, "balanced": "balanced"} | {f"weight {w:g}": w for w in POSITIVE_WEIGHTS}
+
+
+def tuned(make: Make, grid: Iterable[tuple], metric: str = "auc") -> L.Fit:
+    return L.grid_search([(" ".join(map(str, g)), make(*g)) for g in grid], metric, INNER)
+
+
+def fixed_cut(at: float) -> Wrap:
+    """The same scores, cut at a given value."""
+    def wrap(base: L.Fit) -> L.Fit:
+        return lambda train, seed: (base(train, seed)[0], at)
+    return wrap
+
+
+def inner_cut(objective: str) -> Wrap:
+    return lambda base: L.tuned_threshold(base, objective, repeats=INNER_REPEATS, k=INNER)
+
+
+TREATMENTS: dict[str, Wrap] = {
+    "": lambda base: base,
+    **{how: (lambda base, how=how: L.calibrated(base, how, k=INNER)) for how in ("sigmoid", "isotonic")},
+    **{f"undersampled x{n}": (lambda base, n=n: L.undersampled(base, n)) for n in (1, BAG_MEMBERS)},
+}
+CUTS: dict[str, Wrap] = {
+    "": lambda base: base,
+    **{f"inner {o}": inner_cut(o) for o in ("kappa", "youden")},
+    **{f"cut {t:g}": fixed_cut(t) for t in FIXED_CUTS},
+    "in-sample kappa": lambda base: L.insample_threshold(base, "kappa"),  # the control: it has seen its rows
+}
+
+
+def _named(parts: Iterable[str], fit: L.Fit) -> L.Method:
+    return L.Method(" | ".join(filter(None, parts)), fit)
+
+
+def crossed(estimators: Iterable[str], weights: Iterable[str] = ("",), treatments: Iterable[str] = ("",),
+            cuts: Iterable[str] = ("",)) -> list[L.Method]:
+    """Every combination of the named values; estimators without class weights occur once."""
+    out = []
+    for e in estimators:
+        bases = {w: WEIGHTED[e](WEIGHTS[w]) for w in weights} if e in WEIGHTED else {"": PLAIN[e]()}
+        out += [_named((e, w, t, c), CUTS[c](TREATMENTS[t](base)))
+                for (w, base), t, c in product(bases.items(), treatments, cuts)]
+    return out
+
 
+def votes(estimators: Iterable[str], sizes: Iterable[int] = (2, 3), cuts: Iterable[str] = ("",)) -> list[L.Method]:
+    """Soft votes of every two, three, ... of the estimators."""
+    fits = {e: (WEIGHTED | PLAIN)[e]() for e in estimators}
+    return [_named(("vote " + " + ".join(names), c), CUTS[c](L.vote(*[fits[n] for n in names])))
+            for size in sizes for names in combinations(fits, size) for c in cuts]
 
-def _methods(table: dict[str, L.Fit]) -> list[L.Method]:
-    return [L.Method(n, f) for n, f in table.items()]
 
+def classifiers() -> list[L.Method]:
+    """Which classifier? Every estimator, and votes."""
+    return (crossed(WEIGHTED, ("", "balanced"), cuts=("", "inner kappa")) + crossed(PLAIN)
+            + votes(("forest", "logistic", "boosting d1", "svm"), cuts=("", "inner kappa")))
 
-def _tuned(make, grid, metric="auc") -> L.Fit:
-    return L.grid_search([(str(g), make(g)) for g in grid], metric, INNER)
 
+def imbalance(estimator: str = "forest") -> list[L.Method]:
+    """How to treat unequal classes: weights and cuts, treatments and cuts, and neither."""
+    weighted = crossed([estimator], WEIGHTS, cuts=CUTS)
+    return weighted + crossed([estimator], treatments=[t for t in TREATMENTS if t], cuts=CUTS)
 
-def baseline() -> L.Method:
-    return L.Method("forest", L.forest(TREES))
 
+def boosting_settings(depths=(1, 2, 3), budgets=(5.0, 10.0), rates=(0.05, 0.1, 0.2)) -> list[L.Method]:
+    """Boosting by depth, and by rounds x rate (the budget) at each rate."""
+    return [L.Method(f"depth {d} rate {r:g} rounds {round(b / r)}", L.boosting(d, round(b / r), r))
+            for d, b, r in product(depths, budgets, rates)]
 
-def classifiers() -> list[L.Method]:
-    """Which classifier? Extra trees are the forest's, histogram boosting is
-    boosting's; RBF kernels are not available."""
-    stumps = L.boosting(1, 200, 0.05, 0.8, 5)
-    base = {"forest": L.forest(TREES), "logistic": L.logistic(1.0)}
-    return _methods(base | {
-        "forest leaf 2 balanced": L.forest(TREES, 2, "balanced"), "forest leaf 2": L.forest(TREES, 2),
-        "logistic balanced": L.logistic(1.0, weights="balanced"),
-        "logistic tuned": _tuned(L.logistic, L2_GRID),
-        "logistic L1 tuned": _tuned(lambda c: L.logistic(c, True), L1_GRID),
-        "svm": L.linear_svm(1.0), "svm tuned": _tuned(L.linear_svm, SVM_GRID),
-        "boosting shallow": L.boosting(2, 150, 0.05, min_leaf=5),
-        "boosting stumps": stumps, "boosting d2": L.boosting(2, 150, 0.05, 0.8, 5),
-        "naive bayes": L.gaussian_nb(), "5 nearest": L.nearest(5),
-        "nearest tuned": L.grid_search([(f"{k} {w}", L.nearest(k, w)) for k in NEIGHBOUR_GRID for w in (False, True)],
-                                       "auc", INNER),
-        "vote logistic forest": L.vote(*base.values()),
-        "vote logistic forest svm": L.vote(*base.values(), L.linear_svm(1.0)),
-        "vote logistic forest stumps": L.vote(L.logistic(1.0), L.forest(TREES), stumps),
-    } | {f"{n} + inner cut": L.tuned_threshold(f, "kappa", grid=True, k=INNER) for n, f in base.items()}
-        | {"vote + inner cut": L.tuned_threshold(L.vote(*base.values()), "kappa", grid=True, k=INNER)})
-
-
-def imbalance() -> list[L.Method]:
-    """How to treat unequal classes: weights, cuts, calibration, undersampling
-    and their combinations. Out-of-fold scores stand for out-of-bag ones."""
-    def cut(f, objective):
-        return L.tuned_threshold(f, objective, repeats=INNER_REPEATS, k=INNER)
-    bag = L.undersampled(L.forest(BAGGED_TREES), BAG_MEMBERS)
-    table = {"forest": L.forest(TREES), "balanced": L.forest(TREES, weights="balanced")}
-    table |= {f"weight {w:g}": L.forest(TREES, weights=w) for w in POSITIVE_WEIGHTS}
-    table |= {f"cut {t:g}": L.forest(TREES, threshold=t) for t in FIXED_CUTS}
-    table |= {f"inner {o}": cut(L.forest(TREES), o) for o in ("youden", "kappa")}
-    table["in-sample kappa (control)"] = L.insample_threshold(L.forest(TREES), "kappa")
-    for how in ("sigmoid", "isotonic"):
-        table[how] = L.calibrated(L.forest(TREES), how, k=INNER)
-        table[f"{how} + inner kappa"] = cut(table[how], "kappa")
-    table |= {"undersample x1": L.undersampled(L.forest(TREES), 1), f"undersample x{BAG_MEMBERS}": bag,
-              f"undersample x{BAG_MEMBERS} cut 0.6": L.undersampled(L.forest(BAGGED_TREES), BAG_MEMBERS, 0.6),
-              f"undersample x{BAG_MEMBERS} + inner kappa": cut(bag, "kappa")}
-    for w, objectives in (("balanced", ["kappa"]), (0.6, ["kappa", "youden"]), (0.5, ["kappa"])):
-        for o in objectives:
-            table[f"weight {w} + inner {o}"] = cut(L.forest(TREES, weights=w), o)
-    return _methods(table)
-
-
-def boosting_settings() -> list[L.Method]:
-    return _methods({f"d{d} {n} x {r:g}": L.boosting(d, n, r) for d, n, r in BOOSTING_SETTINGS})
-
-
-def finalists() -> list[L.Method]:
-    """The winners of each question, for a re-test on unused seeds."""
-    forest = L.forest(TREES)
-    return _methods({
-        "forest": forest, "boosting d2": L.boosting(2, 100, 0.1), "boosting stumps": L.boosting(1, 100, 0.1),
-        "boosting d2 weight 0.5": L.boosting(2, 100, 0.1, weights=0.5), "weight 0.5": L.forest(TREES, weights=0.5),
-        "balanced": L.forest(TREES, weights="balanced"),
-        "vote": L.vote(L.logistic(1.0), forest, L.boosting(2, 100, 0.1)), "L1 in fold": L.selected_l1(forest, 0.5)})
+
+def finalists(methods: list[L.Method], compared: DataFrame, k: int = 8, by: str = "kappa") -> list[L.Method]:
+    """The ``k`` best of ``methods`` in a comparison (name, ``by``), for a re-test on unused seeds; ties by name."""
+    best = [r["name"] for r in compared.orderBy(F.col(by).desc_nulls_last(), "name").limit(k).collect()]
+    own = {m.name: m for m in methods}
+    return [own[n] for n in best if n in own]
 
 
 def selections(n_features: int, rfe=(5, 8, 10, 12, 15), l1=(0.05, 0.1, 0.5, 1.0)) -> list[L.Method]:
     """How many features, chosen how? All inside the fold."""
-    forest = L.forest(TREES)
-    table = {"all": forest}
-    table |= {f"top {k:02d}": L.selected_topk(forest, k, TREES) for k in range(3, n_features + 1)}
-    table |= {f"eliminated to {k}": L.selected_rfe(forest, k) for k in rfe if k < n_features}
-    table |= {f"L1 {c}": L.selected_l1(forest, c) for c in l1}
-    return _methods(table)
+    forest = WEIGHTED["forest"]()
+    ways = {"top": (range(3, n_features + 1), lambda k: L.selected_topk(forest, k, TREES)),
+            "eliminated to": ([k for k in rfe if k < n_features], lambda k: L.selected_rfe(forest, k)),
+            "L1": (l1, lambda c: L.selected_l1(forest, c))}
+    return [L.Method("all", forest)] + [L.Method(f"{how} {v:g}", make(v)) for how, (values, make) in ways.items() for v in values]
+
+
+#: row-wise transforms of a list of feature columns
+TRANSFORMS: dict[str, Callable[[list[str]], list]] = {
+    "": lambda cols: cols,
+    "ratio": lambda cols: S.ratio_columns(cols, "brightness_mean"),
+    "ratio + reference": lambda cols: S.ratio_columns(cols, "brightness_mean", keep_ref=True),
+    "ratio to blue": lambda cols: S.ratio_columns(cols, "mean_B"),
+    "log": lambda cols: S.log_columns(cols),
+    "row z": lambda cols: S.row_zscores(cols),
+    "contrast": lambda cols: [*cols, *S.contrast_columns()],
+    "brightness": lambda cols: [*dict.fromkeys([*cols, "brightness_mean"])],
+}
 
 
 def feature_tables(df: DataFrame, selected: list[str], columns: list[str], ids=("id", "y")) -> dict[str, DataFrame]:
-    """Row-wise transformed feature tables, by name; each is compared under the
-    same methods and folds."""
-    free = [c for c in columns if c not in P.INTENSITY_FEATURES]
-    only = [c for c in columns if c in P.INTENSITY_FEATURES]
-
-    def table(cols):
-        return df.select(*ids, *cols)
-    out = {"selected": table(selected), "all": table(columns)}
-    for tag, cols in (("selected", selected), ("all", columns)):
-        out[f"ratio {tag}"] = table(S.ratio_columns(cols, "brightness_mean"))
-        out[f"log {tag}"] = table(S.log_columns(cols))
-        out[f"row z {tag}"] = table(S.row_zscores(cols))
-    out["ratio to blue"] = table(S.ratio_columns(selected, "mean_B"))
-    out["ratio + reference"] = table(S.ratio_columns(selected, "brightness_mean", keep_ref=True))
-    out["selected + brightness"] = table(selected + ["brightness_mean"])
-    out["intensity free"] = table(free)
-    out["intensity only"] = table(only)
-    out["intensity free + log"] = table(S.log_columns(free))
-    out["intensity free + contrast"] = table([*free, *S.contrast_columns()])
-    out["selected + contrast"] = table([*selected, *S.contrast_columns()])
-    return out
+    """Every transform of every column set, by name; each is compared under the same methods and folds."""
+    sets = {"selected": selected, "all": columns,
+            "intensity free": [c for c in columns if c not in P.INTENSITY_FEATURES],
+            "intensity only": [c for c in columns if c in P.INTENSITY_FEATURES]}
+    return {" | ".join(filter(None, (name, how))): df.select(*ids, *change(cols))
+            for (name, cols), (how, change) in product(sets.items(), TRANSFORMS.items())}
 
 
 def stressed(df: DataFrame, row_id: str, draw: int, pct: float = 0.15) -> DataFrame:
     """The table with one exposure factor per row on its intensity columns."""
-    from pyspark.sql import functions as F
     return df.select(*S.perturbed(df.columns, S.exposure_factor(F.col(row_id), draw, pct)))

@@ -369,7 +369,7 @@ def error_analysis(spark, d):
   SELECT rep AS replicate, count(*) FILTER (cell = 0) AS tn, count(*) FILTER (cell = 1) AS fp,
          count(*) FILTER (cell = 2) AS fn, count(*) FILTER (cell = 3) AS tp FROM d JOIN r ON d.pick = r.rn GROUP BY 1""")
 def bootstrap_counts(spark, d):
-    return B.bootstrap_counts(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 200, by_row=True)
+    return B.bootstrap_counts(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 200)
 
 
 @query("bootstrap_ci", f"""
@@ -385,7 +385,7 @@ def bootstrap_counts(spark, d):
   SELECT metric, {rnd('avg(v)')} AS point, {rnd('quantile_cont(v, 0.025)')} AS ci_lo, {rnd('quantile_cont(v, 0.975)')} AS ci_hi,
          {rnd('avg(CASE WHEN bar IS NOT NULL THEN (v >= bar)::int END)')} AS p_above_bar FROM l GROUP BY 1""")
 def bootstrap_ci(spark, d):
-    c = B.bootstrap_counts(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 200, by_row=True)
+    c = B.bootstrap_counts(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 200)
     return _round(B.bootstrap_interval(c), "point", "ci_lo", "ci_hi", "p_above_bar")
 
 

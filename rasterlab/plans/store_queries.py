@@ -49,9 +49,10 @@ def model_config_roundtrip(spark, d):
             "training_feature_ranges"), F.lit(X.THRESHOLD).alias("decision_threshold"))
     W.write_json(one, path)
     config = S.read_model_config(spark, path)
-    n = S.model_summary(config).select("n_features")
-    return S.model_ranges(config).join(F.broadcast(n.withColumn("feature", F.lit("quantity"))), "feature", "left").select(
-        "feature", "min", "max", "p05", "p95", F.coalesce("n_features", F.lit(len(X.VIEW_FEATURES))).alias("n_features"))
+    n = F.broadcast(S.model_summary(config).select("decision_threshold", "n_features"))
+    ranges = S.model_ranges(config)
+    return ranges.withColumn("decision_threshold", F.lit(X.THRESHOLD)).join(n, "decision_threshold", "left").select(
+        "feature", "min", "max", "p05", "p95", "n_features")
 
 
 @query("partial_results", f"""
@@ -137,14 +138,22 @@ def companion_join(spark, d):
 
 
 @query("advice_texts", f"""
-  SELECT CASE WHEN pred_proba >= {X.THRESHOLD} THEN 'Set this one aside and have it confirmed'
-    ELSE 'Nothing found; still inspect it before use' END AS headline, count(*) AS n FROM {SC} GROUP BY 1""")
+  SELECT r_name AS headline, lower(r_name) AS note, count(*) AS n FROM {SC}
+  JOIN region ON r_regionkey = CASE WHEN pred_proba >= {X.THRESHOLD} THEN 1 ELSE 3 END GROUP BY 1, 2""")
 def advice_texts(spark, d):
+    """Texts come from a settings file, written here with a region's words per level."""
+    levels = F.array(*map(F.lit, ("unreliable", "positive", "caution", "negative")))
+    words = table(spark, d, "region").where("r_regionkey < 4").select(
+        F.get(levels, F.col("r_regionkey").cast("int")).alias("level"), F.col("r_name").alias("headline"),
+        F.lower("r_name").alias("note"))
+    settings = work_folder(spark, "advice")
+    W.write_json(words.groupBy().agg(F.struct(F.map_from_entries(F.collect_list(  # four levels
+        F.struct("level", F.struct("level", "headline", "note")))).alias("messages")).alias("advice")), settings)
     thr = F.lit(X.THRESHOLD)
     level = R.advice_level(R.predicted_label(F.col("pred_proba"), thr), R.borderline(F.col("pred_proba"), thr),
                            F.lit(None).cast("string"))
     s = X.scans(spark, d).select(level.alias("level"))
-    return s.join(F.broadcast(S.advice_texts(spark)), "level").groupBy("headline").agg(F.count(F.lit(1)).alias("n"))
+    return s.join(F.broadcast(S.advice_texts(spark, settings)), "level").groupBy("headline", "note").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("feature_name_difference", """

@@ -65,20 +65,8 @@ def read_store(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).option("mergeSchema", True).parquet(path)
 
 
-# The advice levels. Texts may be replaced by a settings file.
-ADVICE_TEXTS = [
-    ("unreliable", "Not conclusive; take the photo again", "The photo is outside what can be measured."),
-    ("positive", "Set this one aside and have it confirmed", "Washing does not remove what the growth leaves behind."),
-    ("caution", "Borderline; treat it as suspect", "A small shift would change the result."),
-    ("negative", "Nothing found; still inspect it before use", "The screen misses some; this is no certificate."),
-]
-
-
-def advice_texts(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(level, headline, note), from a settings file's ``advice.messages`` or
-    the built-in texts."""
-    if path is None:
-        return spark.createDataFrame(ADVICE_TEXTS, "level string, headline string, note string")
+def advice_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(level, headline, note) of a settings file's ``advice.messages``; the engine has no texts of its own."""
     schema = "advice struct<messages: map<string, struct<level: string, headline: string, note: string>>>"
     rows = read_json(spark, path, schema).select(F.explode("advice.messages").alias("_k", "_m"))
     return rows.select("_m.level", "_m.headline", "_m.note")

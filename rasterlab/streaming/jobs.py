@@ -35,16 +35,19 @@ def append_scans(scored: DataFrame, folder: str) -> DataFrame:
 
 
 def running_counts(scored: DataFrame, folder: str, keys=("crop", "pred_label")) -> DataFrame:
-    """Counts per key, rewritten after each micro-batch. There are as many
-    rows as keys."""
+    """Counts per key after the last micro-batch. Each batch writes its own
+    folder, so a batch that fails or is run again leaves the finished ones as
+    they are. There are as many rows as keys."""
     counts = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
     def write(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{folder}/counts")
+        df.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
     q = (counts.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return scored.sparkSession.read.schema(counts.schema).parquet(f"{folder}/counts")
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    done = scored.sparkSession.read.schema(counts.schema).option("basePath", f"{folder}/counts").parquet(f"{folder}/counts")
+    return done.where(F.col("batch") == last).drop("batch")
 
 
 def joined_truth(scans: DataFrame, truths: DataFrame, within: str, delay: str) -> DataFrame:

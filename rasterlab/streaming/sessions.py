@@ -7,12 +7,14 @@ busy it is.
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rasterlab import params as P
+from rasterlab.functions.scalar import generated_code
 
 EVENT_SCHEMA = ("session_id string, event_id bigint, ts timestamp, action string, dataset string, crop string, "
                 "sample_code string, files array<string>")
@@ -37,66 +39,88 @@ def _extension(name: str) -> str:
     return ("." + name.rsplit(".", 1)[1].lower()) if "." in name else ""
 
 
+@dataclass
+class Upload:
+    """What an upload or retake asks for."""
+    crop: str
+    code: str
+    files: list
+    retake: bool
+
+
+# Rules in order: the first that holds names the outcome. These come before a session is opened or touched,
+UPLOAD_RULES = [
+    ("bad_crop", lambda e, u: u.crop not in P.CROPS),
+    ("code_required", lambda e, u: not u.code and e.dataset == "research"),
+    ("code_too_long", lambda e, u: len(u.code) > P.CODE_MAX_CHARS),
+    ("no_files", lambda e, u: not u.files),
+]
+# these once it is open, before its code is renamed,
+OPEN_RULES = [
+    ("other_dataset", lambda s, e, u: s.dataset != e.dataset),
+    ("other_crop", lambda s, e, u: s.crop != u.crop),
+]
+# these before its steps move (``left`` steps are open),
+STEP_RULES = [
+    ("nothing_to_retake", lambda s, u, left: u.retake and not s.captured),
+    ("complete", lambda s, u, left: left <= 0),
+    ("too_many_files", lambda s, u, left: len(u.files) > left),
+]
+# and these are for the other actions of an open session.
+SKIP_RULES = [
+    ("complete", lambda s, steps: s.step >= len(steps)),
+    ("step_required", lambda s, steps: steps[s.step][2]),
+]
+PREDICT_RULES = [
+    ("other_dataset", lambda s, e: s.dataset != e.dataset),
+    ("no_uv", lambda s, e: not any(KIND[c] == "uv" for c in s.captured)),
+]
+
+
+def _first(rules, *facts) -> str | None:
+    return next((outcome for outcome, holds in rules if holds(*facts)), None)
+
+
 def advance(s: Session | None, e, steps=tuple(P.CAPTURE_STEPS)) -> tuple[Session | None, str]:
-    """The session after one event, and the event's outcome."""
-    if s is not None and e.ts.timestamp() - s.created > P.SESSION_TTL_SECONDS:
+    """The session after one event, and the event's outcome.
+
+    ``e.at`` is the event's time in seconds since the epoch, ``e.generated`` the code for an event without one.
+    """
+    if s is not None and e.at - s.created > P.SESSION_TTL_SECONDS:
         s = None
     if e.action in ("upload", "retake"):
         return _capture(s, e, steps)
     if s is None:
         return None, "no_session"
     if e.action == "skip":
-        if s.step >= len(steps):
-            return s, "complete"
-        if steps[s.step][2]:
-            return s, "step_required"
-        s.step += 1
-        return s, "skipped"
-    if s.dataset != e.dataset:
-        return s, "other_dataset"
-    if not any(KIND[c] == "uv" for c in s.captured):
-        return s, "no_uv"
-    return None, "finished"
+        refused = _first(SKIP_RULES, s, steps)
+        s.step += refused is None
+        return s, refused or "skipped"
+    refused = _first(PREDICT_RULES, s, e)
+    return (s, refused) if refused else (None, "finished")
 
 
 def _capture(s, e, steps):
-    crop = "onion" if e.dataset == "public" else (e.crop or "onion").strip()
-    code = (e.sample_code or "").strip()
-    if crop not in P.CROPS:
-        return s, "bad_crop"
-    if not code:
-        if e.dataset == "research":
-            return s, "code_required"
-        code = f"P{e.ts:%y%m%d}-{e.event_id & 0xFFFFFF:06x}"
-    if len(code) > P.CODE_MAX_CHARS:
-        return s, "code_too_long"
-    files = [] if e.files is None else list(e.files)
-    if not files:
-        return s, "no_files"
-    retake = e.action == "retake" and s is not None
-    if s is None:
-        s = Session(e.ts.timestamp(), e.dataset, crop, code)
-    if s.dataset != e.dataset:
-        return s, "other_dataset"
-    if s.crop != crop:
-        return s, "other_crop"
+    u = Upload("onion" if e.dataset == "public" else (e.crop or "onion").strip(), (e.sample_code or "").strip(),
+               [] if e.files is None else list(e.files), e.action == "retake" and s is not None)
+    if refused := _first(UPLOAD_RULES, e, u):
+        return s, refused
+    code = u.code or e.generated
+    s = s or Session(e.at, e.dataset, u.crop, code)
+    if refused := _first(OPEN_RULES, s, e, u):
+        return s, refused
     s.code = code  # every upload renames the session
-    if retake:
-        if not s.captured:
-            return s, "nothing_to_retake"
+    back = int(u.retake and bool(s.captured))
+    refused = _first(STEP_RULES, s, u, len(steps) - max(0, s.step - back))
+    if back:
         s.captured.pop()
         s.step = max(0, s.step - 1)
-    left = len(steps) - s.step
-    if left <= 0:
-        return s, "complete"
-    if len(files) > left:
-        return s, "too_many_files"
-    for f in files:  # files before a bad one stay in
-        if _extension(f) not in P.UPLOAD_EXTENSIONS:
-            return s, "bad_file"
-        s.captured.append(steps[s.step][0])
-        s.step += 1
-    return s, "accepted"
+    if refused:
+        return s, refused
+    good = list(takewhile(lambda f: _extension(f) in P.UPLOAD_EXTENSIONS, u.files))  # files before a bad one stay in
+    s.captured += [name for name, _, _ in steps[s.step:s.step + len(good)]]
+    s.step += len(good)
+    return s, "accepted" if len(good) == len(u.files) else "bad_file"
 
 
 def _rows(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -110,7 +134,7 @@ def _rows(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     if s is not None:
         s.captured = list(s.captured)
     # one session's events of one micro-batch, put in order
-    batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+    batch = pd.concat(list(pdfs)).sort_values(["at", "event_id"])
     out = []
     for e in batch.itertuples(index=False):
         before = s
@@ -136,7 +160,10 @@ def capture_sessions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     ``events`` is a stream with ``EVENT_SCHEMA``. A session's share of one
     micro-batch is put in order inside its task, so limit the batch with the
-    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``. Times are
+    compared as seconds since the epoch, whatever the session's time zone.
     """
-    return (events.withWatermark("ts", delay).groupBy("session_id")
+    timed = events.withWatermark("ts", delay).withColumns({  # the same in every session time zone
+        "at": F.unix_micros("ts") / 1e6, "generated": generated_code(F.col("ts"), F.col("event_id"))})
+    return (timed.groupBy("session_id")
             .applyInPandasWithState(_rows, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))

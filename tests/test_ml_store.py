@@ -225,9 +225,20 @@ def test_bar():
     assert P.PASS_BAR == {"accuracy": 0.80, "recall": 0.80, "kappa": 0.61}
 
 
+def test_finalists_are_the_best_of_a_comparison(spark):
+    from rasterlab.operators import variants as N
+    methods = N.crossed(["forest", "svm"], N.WEIGHTS, cuts=N.CUTS)
+    assert len(methods) == (len(N.WEIGHTS) + 1) * len(N.CUTS)  # no weights for the margin
+    compared = spark.createDataFrame([("forest", .5), ("svm", .7), ("forest | balanced", .7), ("unknown", .9), ("svm | cut 0.6", None)],
+                                     "name string, kappa double")
+    assert [m.name for m in N.finalists(methods, compared, 4)] == ["forest | balanced", "svm", "forest"]
+    fit = N.fixed_cut(0.6)(lambda train, seed: ("scorer", 0.5))
+    assert fit(None, 0) == ("scorer", 0.6)
+
+
 def test_variant_registries(spark, golden):
     from rasterlab.operators import variants as N
-    for methods in (N.classifiers(), N.imbalance(), N.finalists(), N.boosting_settings(), N.selections(24)):
+    for methods in (N.classifiers(), N.imbalance(), N.boosting_settings(), N.selections(24)):
         names = [m.name for m in methods]
         assert len(names) == len(set(names)) and all(callable(m.fit) for m in methods)
     path = golden("sample_code", "sd_G", "compactdry")
@@ -236,10 +247,10 @@ def test_variant_registries(spark, golden):
     tables = N.feature_tables(df, ["sd_G", "A_high", "blob_max"], cols[1:-1])
     width = {n: len(t.columns) - 2 for n, t in tables.items()}
     assert width["selected"] == 3 and width["all"] == 24
-    assert width["ratio all"] == 23 and width["ratio + reference"] == 4  # the reference itself goes, or is kept
-    assert width["intensity free"] == 13 and width["intensity only"] == 11 and width["intensity free + contrast"] == 17
-    assert "mean_G/brightness_mean" in tables["ratio all"].columns and tables["ratio + reference"].columns[-1] == "brightness_mean"
-    assert tables["intensity free + contrast"].count() == 60
+    assert width["all | ratio"] == 23 and width["selected | ratio + reference"] == 4  # the reference itself goes, or is kept
+    assert width["intensity free"] == 13 and width["intensity only"] == 11 and width["intensity free | contrast"] == 17
+    assert "mean_G/brightness_mean" in tables["all | ratio"].columns and tables["selected | ratio + reference"].columns[-1] == "brightness_mean"
+    assert tables["intensity free | contrast"].count() == 60
     moved = N.stressed(df, "id", 1).join(df.select("id", F.col("sd_G").alias("g"), F.col("A_high").alias("a")), "id")
     r = moved.agg(F.min(F.col("sd_G") / F.col("g")), F.max(F.col("sd_G") / F.col("g")), F.max(F.abs(F.col("A_high") - F.col("a")))).first()
     assert 0.85 <= r[0] < r[1] <= 1.15 and r[2] == 0

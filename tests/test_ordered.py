@@ -104,13 +104,15 @@ def test_group_folds_are_balanced_and_whole(spark):
     assert a != b
 
 
-def test_bootstrap_laws_agree(spark):
+def test_bootstrap_against_the_multinomial_law(spark):
     df = spark.range(300).select((F.col("id") % 10 < 6).cast("int").alias("y"), (F.col("id") % 10 < 7).cast("int").alias("p"))
-    a = B.bootstrap_interval(B.bootstrap_counts(df, F.col("y"), F.col("p"), 400, by_row=True)).toPandas().set_index("metric")
-    b = B.bootstrap_interval(B.bootstrap_counts(df, F.col("y"), F.col("p"), 400, by_row=False)).toPandas().set_index("metric")
-    for m in ("kappa", "accuracy"):
-        for c in ("point", "ci_lo", "ci_hi"):
-            assert a.loc[m, c] == pytest.approx(b.loc[m, c], abs=0.02)
+    got = B.bootstrap_counts(df, F.col("y"), F.col("p"), 2000).toPandas()
+    assert len(got) == 2000 and (got[["tn", "fp", "fn", "tp"]].sum(axis=1) == 300).all()
+    for cell, share in (("tn", 0.3), ("fp", 0.1), ("fn", 0.0), ("tp", 0.6)):
+        assert got[cell].mean() == pytest.approx(300 * share, abs=0.6)
+        assert got[cell].var() == pytest.approx(300 * share * (1 - share), rel=0.12)
+    assert B.bootstrap_counts(df.limit(0), F.col("y"), F.col("p"), 20).count() == 0
+
 
 
 def test_broadcast_only_within_bound(spark):

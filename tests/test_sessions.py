@@ -11,7 +11,7 @@ T0 = datetime(2024, 5, 1, 12, 0, 0)
 
 
 def ev(action, minute=0, dataset="research", crop="onion", code="S001", files=("a.jpg",), n=1):
-    return SimpleNamespace(action=action, ts=T0 + timedelta(minutes=minute), dataset=dataset, crop=crop,
+    return SimpleNamespace(action=action, at=T0.timestamp() + 60 * minute, generated=f"P240501-{n:06x}", dataset=dataset, crop=crop,
                            sample_code=code, files=list(files), event_id=n)
 
 
@@ -147,3 +147,16 @@ def test_bounded_join_releases_unmatched(spark, tmp_path, stream_of):
     out = J.run_to_files(J.joined_truth(a, t, "5 DAYS", "1 hour"), str(tmp_path / "j")).select("id", "truth").collect()
     got = {r[0]: r[1] for r in out}
     assert got[1] == 1 and got[3] == 0 and got.get(2, "held") is None
+
+
+@pytest.mark.parametrize("zone", ["Asia/Bangkok", "America/New_York"])
+def test_expiry_in_every_session_zone(spark, tmp_path, stream_of, zone):
+    own = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        batches = [[row("a", 1, "upload", 0)], [row("b", 2, "upload", 200)], [row("b", 3, "skip", 201)], [row("c", 4, "upload", 202)]]
+        out = J.run_to_files(Z.capture_sessions(stream_of(batches, Z.EVENT_SCHEMA), "10 minutes"), str(tmp_path / "out"))
+        got = [tuple(r) for r in out.select("session_id", "outcome").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+    assert sorted(got) == [("a", "accepted"), ("a", "expired"), ("b", "accepted"), ("b", "skipped"), ("c", "accepted")]
