@@ -1,10 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows
+Two zstandard dictionaries are used, one trained on windows of ordinary text, one of toxic words. A text is cut into windows
 of whole words; a window's distance is how many bytes shorter it gets when the toxic dictionary may be
 used besides the ordinary one. The two compressors share the ordinary content at the same offsets, so
 ordinary windows come out alike to the byte and what differs is toxic content. The toxic dictionary is
-trained on the toxic texts' words that ordinary texts lack (words that both hold would only add noise).
+not trained on whole toxic windows: it is the list of single words that ``telling_words`` picks by the
+ratios below (zstandard trains on the list only beyond 8 * ``DICT_BYTES`` bytes of it). So toxicity that
+lies in phrases of ordinary words, or in rare words with no telling beginning, gives no distance. Two
+dictionaries trained on whole windows did worse on held-out labels; the README has both figures.
 
 Windows are counted from several distances on; a logistic curve, fitted on labelled documents that neither
 dictionary has seen, weighs these thresholds and turns a document's counts into a score.
