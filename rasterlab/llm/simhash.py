@@ -204,11 +204,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the smallest doc_id, once.
 
-    Rows that repeat a doc_id are one document (whichever of their rows comes first stays, if their
-    texts differ). A component without any doc_id keeps one of its texts.
+    Decided per doc_id and text: rows of one doc_id whose texts differ are documents of their own, only
+    repeats of the same text go. A component without any doc_id keeps one of its texts.
     """
     text = F.col("text").cast("string")
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+    key = F.concat_ws(" ", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce(text, F.lit(""))))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"),
                     F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     f = stash(in_batches(d.select("key", "doc_id", "text"), lambda keys, ids, texts: {

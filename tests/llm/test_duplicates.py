@@ -57,6 +57,13 @@ def test_simhash_of_odd_rows(odd_docs, clashing, no_docs):
     assert simhash.near_duplicates(no_docs).count() == simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_id_with_different_texts_keeps_each(spark):
+    a, b, c = (prose(i, 60) for i in (31, 32, 33))
+    rows = [(5, a, None, None, None), (5, b, None, None, None), (5, a, None, None, None), (3, b, None, None, None), (None, c, None, None, None)]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(5, a), (3, b), (0, c)])
+
+
 def test_op8_on_the_table(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert Counter(map(tuple, queries.op8_simhash(spark, SF).collect())) == brute(rows)
