@@ -88,12 +88,13 @@ def _sq_distance(mean: np.ndarray, inv: np.ndarray):
     return distance
 
 
-def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0.9, steps: int = 10) -> DataFrame:
+def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0.9, steps: int = 1000) -> DataFrame:
     """Mahalanobis distance under the covariance of the closest ``support``
     share of rows (minimum covariance determinant by concentration steps).
 
     Each step is a covariance over the kept rows, a d x d inverse, and one
-    exact quantile for the next cut.
+    exact quantile for the next cut. Steps go on until the log determinant stops
+    falling (by 1e-4); it never rises, so ``steps`` is only a bound, and reaching it raises.
     """
     live = [c for c, (n, lo, hi) in zip(cols, _spans(df, cols)) if n and hi > lo]
     base = cut_lineage(df.select(id_, F.array(*[F.col(f"`{c}`").cast("double") for c in live]).alias("x")))
@@ -109,6 +110,8 @@ def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0
             break
         last = det
         kept = dist.where(F.col("d2") <= quantiles(dist, [], "d2", {"cut": support}, max_rows=n).first()["cut"])
+    else:
+        raise RuntimeError(f"concentration steps did not converge in {steps}")
     return dist.select(id_, F.sqrt("d2").alias("distance"))
 
 

@@ -77,6 +77,15 @@ def test_robust_distance_against_numpy(spark):
     assert np.allclose(got, np.sqrt(d2)) and set(np.argsort(-got)[:12]) == set(range(12))
 
 
+def test_robust_distance_goes_on_until_it_converges(spark):
+    x = np.random.default_rng(2).normal(size=(200, 3)) + np.repeat([[25.0], [0.0]], [12, 188], axis=0)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(200)))
+    with pytest.raises(RuntimeError, match="converge"):
+        A.robust_distance(df, "id", list("abc"), steps=1)
+    got = A.robust_distance(df, "id", list("abc")).orderBy("id").toPandas().distance.to_numpy()
+    assert set(np.argsort(-got)[:12]) == set(range(12))
+
+
 def test_selection(data):
     df, _, _ = data
     record = []
