@@ -300,7 +300,7 @@ def subset(base: Fit, idx: list[int]) -> Fit:
     return _on(stage, base)
 
 
-def importances(train: DataFrame, seed: int, trees: int = 400, depth: int = 10) -> np.ndarray:
+def importances(train: DataFrame, seed: int, trees: int = 400, depth: int = 30) -> np.ndarray:
     m = RandomForestClassifier(labelCol="y", numTrees=trees, seed=seed, maxDepth=depth).fit(train)
     return m.featureImportances.toArray()
 

@@ -86,6 +86,14 @@ def test_robust_distance_goes_on_until_it_converges(spark):
     assert set(np.argsort(-got)[:12]) == set(range(12))
 
 
+def test_importances_come_from_trees_as_deep_as_the_library_allows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(y), v.tolist()) for y, v in zip(rng.integers(0, 2, 1500), rng.normal(size=(1500, 3)))]
+    df = spark.createDataFrame(rows, "y double, v array<double>").select("y", array_to_vector("v").alias("features"))
+    got = L.importances(df, 3, 3)
+    assert np.allclose(got, L.importances(df, 3, 3, depth=30)) and not np.allclose(got, L.importances(df, 3, 3, depth=10))
+
+
 def test_selection(data):
     df, _, _ = data
     record = []
