@@ -94,6 +94,14 @@ def test_importances_come_from_trees_as_deep_as_the_library_allows(spark):
     assert np.allclose(got, L.importances(df, 3, 3, depth=30)) and not np.allclose(got, L.importances(df, 3, 3, depth=10))
 
 
+def test_final_model_reads_all_columns(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "final_fit", lambda df, cols, *a, **k: (seen.extend(cols), None))
+    monkeypatch.setattr(L, "score_rows", lambda df, *a: df)
+    QUERIES["final_model_scores"](spark, SF)
+    assert len(seen) == 64
+
+
 def test_selection(data):
     df, _, _ = data
     record = []
