@@ -34,6 +34,11 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_dropped(spark: SparkSession, path: str) -> None:
+    """Count a folder that an operator wrote among its stored tables."""
+    _stashes(spark).append(path)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Remove the stored table that ``df`` reads, once nothing that is still to run needs it."""
     spark = df.sparkSession

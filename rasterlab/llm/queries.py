@@ -3,11 +3,13 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlab.llm import (chat, langid, order_minhash, packing, piece_bpe, rendezvous, simhash, suffixes, toxicity, vamana)
+from rasterlab.llm import (chat, langid, nra, order_minhash, packing, piece_bpe, pivots, rendezvous, simhash, suffixes, toxicity, vamana,
+                           warc)
 from rasterlab.llm.common import table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_chat_format": chat.SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.SQL, "op11_warc_dictionary": warc.SQL, "op12_nra_search": nra.SQL,
+                           "op13_pivot_clusters": pivots.SQL}
 
 
 def query(fn):
@@ -65,3 +67,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.place(table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op11_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.clustered(table(spark, sf_dir, "embeddings"))
