@@ -196,7 +196,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE
             for page_id, url, payload, response, revisit in zip(*[c.to_pylist() for c in b.columns]):
                 if out is None:
                     name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-                    out = fs.open_output_stream(_opened(name)[1])
+                    out = fs.open_output_stream(_opened(name)[1], compression=None)  # the name would have it compressed again
                     done.append([name, 0, 0])
                     first = packer.compress(_framed(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}",
                                                      "Content-Type: application/warc-fields"], b"software: rasterlab\r\n"))
@@ -230,7 +230,7 @@ def read(archives: DataFrame) -> DataFrame:
         for b in batches:
             for name in b.column(0).to_pylist():
                 fs, path = _opened(name)
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     for raw in records(f):
                         if row := _page(raw):
                             held.append(row)
