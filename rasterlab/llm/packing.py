@@ -21,7 +21,8 @@ from rasterlab.llm.common import in_batches, pick, stash
 
 LENGTH = 4096
 CLOSING_ID = 1
-TASK_ITEMS = 20_000  # items that one task packs
+TASK_ITEMS = 8_000  # items that one task packs
+OPENED = 12          # times as many if they are single pieces
 NEARLY = 8           # a bin with at most so many free places is emitted
 CACHE_WORDS = 400_000  # cached words of each half of a worker's cache
 MARKS = ".,;:!?"       # marks that may follow a word; each is a run of its own
@@ -54,7 +55,7 @@ class WordTokens:
 
     def _new(self, missed: set[str]) -> dict[str, bytes]:
         got = {w: b for w in missed if (b := self.old.get(w)) is not None}
-        marked = {w: w[:-1] for w in missed - got.keys() if w[-1:] in MARKS and w[:-1].isalpha()}
+        marked = {w: w[:-1] for w in missed - got.keys() if w[-1:] in MARKS and self._letters(w[:-1])}
         left = (missed - got.keys() - marked.keys()) | {m for m in MARKS if m not in self.young}
         stems = {}
         for s in set(marked.values()):
@@ -63,7 +64,7 @@ class WordTokens:
                 left.add(s)
             else:
                 stems[s] = b
-        letters = sorted(w for w in left if w.isalpha())
+        letters = sorted(w for w in left if self._letters(w))
         for w, e in zip(letters, self._together(letters) if letters else []):
             got[w] = e
         others = [w for w in left if w not in got]
@@ -76,6 +77,10 @@ class WordTokens:
         self.young.update((w, b) for w, b in got.items() if len(w) <= 64)
         return got
 
+    def _letters(self, word: str) -> bool:
+        """Whether the tokenizer sees nothing but letters (its normal form may take a letter apart)."""
+        return word.isalpha() and (word.isascii() or self.t.normalizer.normalize_str(word).isalpha())
+
     def _together(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -167,17 +172,24 @@ def packed(parts: DataFrame, length: int = LENGTH, task_items: int = TASK_ITEMS,
                        F.array(F.struct(*columns, F.lit(0).cast("long").alias("offset"))).alias("members"))
     done = [one.where(F.col("size") == length)]
     left = one.where(F.col("size") < length)
-    count = left.count()
+    count, stalled, share = left.count(), None, OPENED * task_items
     while count:
-        tasks = -(-count // task_items)
+        tasks = -(-count // share)
         out = stash(left.repartition(tasks).mapInArrow(
             functools.partial(_pack_task, capacity=length, nearly=nearly), ITEM_DDL))
         bins, full = out.agg(F.count("*"), F.count_if("full")).first()
-        if tasks == 1 or bins - full > 0.999 * count:  # one task has seen all, or items do not join
-            done.append(out.drop("full"))
+        under = bins - full
+        joins = under <= 0.999 * count
+        if tasks == 1 or not joins and stalled is not None and under > 0.999 * stalled:
+            done.append(out.drop("full"))  # one task has seen all, or opening the bins brought nothing
             break
         done.append(out.where("full").drop("full"))
-        left, count = out.where("not full").drop("full"), bins - full
+        left, count, share = out.where("not full").drop("full"), under, task_items
+        if not joins:  # bins that do not join any more are opened, and their pieces meet others
+            stalled = under
+            piece = F.col("m").withField("offset", F.lit(0).cast("long"))
+            left = left.select(F.explode("members").alias("m")).select(F.col("m.length").cast("int").alias("size"), F.array(piece).alias("members"))
+            count, share = left.count(), OPENED * task_items
     bins = functools.reduce(DataFrame.unionByName, done).withColumn("sequence_id", F.monotonically_increasing_id())
     return bins.select("sequence_id", F.inline("members")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -2,8 +2,8 @@
 
 An archive (``.warc.zst``) starts with a skippable frame that holds the dictionary (itself compressed), then
 one frame per record: a ``warcinfo``, then the pages. The dictionary is trained on a bounded sample of the
-pages to be archived: the ``SAMPLE_RECORDS`` with the smallest hashes, ``SAMPLE_BYTES`` of each at most, as
-WARC records. Fewer than ``LEAST_PIECES`` pieces train none, and archives then have no leading frame, which
+pages to be archived: about ``SAMPLE_RECORDS`` picked by hash, ``SAMPLE_BYTES`` of each at most, as WARC
+records. Fewer than ``LEAST_PIECES`` pieces train none, and archives then have no leading frame, which
 readers accept; nothing but sizes depends on it.
 
 Every task writes archives of its own in the shared folder and returns their names; the stored list of names
@@ -180,7 +180,8 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE
     """Archive ``pages`` (page_id, url, html) in the shared folder: file, records, bytes of every archive."""
     spark = pages.sparkSession
     rows = pages_with_roles(pages)
-    sample = rows.where("not revisit").orderBy(F.xxhash64("payload"), "page_id").limit(SAMPLE_RECORDS).select(
+    chance = F.pmod(F.xxhash64("page_id", "url", "payload"), F.lit(max(1, pages.count()))) < SAMPLE_RECORDS
+    sample = rows.where(chance & ~F.col("revisit")).limit(2 * SAMPLE_RECORDS).select(
         "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).collect()
     dictionary = trained([record(r.page_id, r.url, bytes(r.payload), None, False, date) for r in sample])
     lead = leading_frame(dictionary)

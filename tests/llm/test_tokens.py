@@ -95,6 +95,18 @@ def test_packing_of_odd_rows(odd_docs, clashing, no_docs):
     assert packing.pack(no_docs, WORD_BPE).count() == 0
 
 
+def test_packed_ids_of_letters_of_every_script():
+    r, tokenizer, mine = random.Random(11), Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()] + [c for c in map(chr, range(0x250, 0x30000)) if c.isalpha()][::37]
+    others = list(".,;:!?'\u0307\u0301\u0345\u200d -_1²½\n\t\u00a0\u3000") + ["İ", "ı", "ß", "ſ", "K", "ﬁ", "ǆ", "ŉ", "ΐ", "Å"]
+    for _ in range(5000):
+        words = ["".join(r.choice(letters if r.random() < 0.8 else others) for _ in range(r.randint(1, 5))) + r.choice(["", "", ".", ",", "!", "?!"])
+                 for _ in range(r.randint(1, 6))]
+        text = r.choice([" ", " ", "\n", ", "]).join(words)
+        assert mine.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert mine.ids("İ,") == np.array(tokenizer.encode("İ,", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_op3_needs_hardly_more_than_the_least_number_of_sequences(spark):
     rows = queries.op3_best_fit_packing(spark, SF).collect()
     n, total = check_packed(spark.read.parquet(f"{SF}/documents.parquet").collect(), rows)
