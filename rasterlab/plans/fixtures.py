@@ -143,3 +143,12 @@ def rgb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("image_id", "class", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"),
                     F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"),
                     channel("a").alias("r"), channel("b").alias("g"), channel("c").alias("b"))
+
+
+def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour rasters as packed frames (image_id, class, h, w, rgb), never exploded."""
+    def channel(i):
+        return F.floor(F.abs(F.col("embedding")[i % 64].cast("double") * 1000)).cast("int") % 256
+    rgb = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: channel(i) * 65536 + channel(i + 21) * 256 + channel(i + 42))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("class"),
+                                                     F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), rgb.alias("rgb"))

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from rasterlab.functions import colour as C
-from rasterlab.operators import components as K, measure as H, pixel_features as V, raster as R, subject as S
+from rasterlab.operators import components as K, measure as H, packed as PK, pixel_features as V, raster as R, subject as S
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd
+from rasterlab.session import cut_lineage
 
 P = f"({X.SCALAR_SQL})"
 RGB = f"({X.RGB_SQL})"
@@ -454,6 +455,37 @@ def subject_dispatch(spark, d):
     return S.subject_masks(px, masks).where("mask").select(*PIX)
 
 
+FOUR_RULES = [("onion", "uv"), ("onion", "visible"), ("garlic", "uv"), ("garlic", "visible")]
+_OF = "image_id IN (SELECT vec_id FROM embeddings WHERE label % 4 = {})"
+
+
+# All four mask rules on packed frames, the centre window of 6 x 6 pixels applied.
+@query("packed_masks", f"""
+  SELECT image_id, y, x FROM {uv_sql(1.5)} WHERE {_OF.format(0)}
+  UNION ALL SELECT l.image_id, y, x FROM {LAB} l JOIN (SELECT image_id, avg(v) + greatest(4 * stddev_pop(v), 6) AS cut
+    FROM {STRIPS.format(v='a', t=LAB)} GROUP BY 1) s USING (image_id) WHERE a > cut AND {_OF.format(1)}
+  UNION ALL SELECT * FROM (WITH RECURSIVE lit AS (SELECT c.image_id, c.y, c.x, g FROM {RGB} c JOIN (SELECT image_id, avg(v) + 0.2 * greatest(stddev_pop(v), 1) AS cut
+      FROM {STRIPS.format(v='g', t=RGB)} GROUP BY 1) s USING (image_id) WHERE g > cut AND {_OF.format(2)}),
+    t AS {otsu_sql('lit', 'g', 10)}, s AS (SELECT lit.*, g > threshold AS seed FROM lit JOIN t USING (image_id) WHERE g > threshold * 0.6),
+    {label_sql('s', 8)}
+    SELECT image_id, y, x FROM l WHERE (image_id, label) IN (SELECT (l.image_id, l.label) FROM l JOIN s USING (image_id, y, x) WHERE seed))
+  UNION ALL SELECT * FROM (WITH RECURSIVE q AS (SELECT image_id, y, x, lum - min(lum) OVER (PARTITION BY image_id) AS lum FROM (
+      SELECT image_id, y, x, round_even(round(r * 0.299 + g * 0.587 + b * 0.114, 6), 0) AS lum FROM {RGB}
+      WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND {_OF.format(3)})),
+    t AS {otsu_sql('q', 'lum::int', 16)}, hot AS (SELECT image_id, y, x FROM q JOIN t USING (image_id) WHERE lum > threshold),
+    {label_sql('hot', 8)}, per AS (SELECT image_id, label, bool_or(y IN (1, 6) OR x IN (1, 6)) AS rim, count(*) AS n FROM l GROUP BY 1, 2),
+    ok AS (SELECT *, bool_or(NOT rim AND n >= 0.03 * 64) OVER (PARTITION BY image_id) AS anyok FROM per)
+    SELECT image_id, y, x FROM l JOIN ok USING (image_id, label) WHERE (NOT rim AND n >= 0.03 * 64) OR NOT anyok)""")
+def packed_masks(spark, d):
+    f = X.packed_frames(spark, d)
+    at = F.col("class") % 4
+    f = f.withColumns({"crop": F.get(F.array(*[F.lit(c) for c, _ in FOUR_RULES]), at), "kind": F.get(F.array(*[F.lit(k) for _, k in FOUR_RULES]), at)})
+    rules = {FOUR_RULES[0]: lambda r, g, b: PK.uv(r, g, b, 1.5), FOUR_RULES[1]: PK.visible,
+             FOUR_RULES[2]: lambda r, g, b: PK.garlic_uv(r, g, b, 0.2, min_values=10),
+             FOUR_RULES[3]: lambda r, g, b: PK.garlic_visible(r, g, b, 0.75, 0.03, 16)}
+    return PK.mask_runs(f, rules).select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
 # Blobs of the scalar raster against the discoloured pixels of the colour raster.
 @query("blob_on_mask", f"""
   WITH RECURSIVE {label_sql(HOT, 4)}, {BLOBS}, h AS (SELECT image_id, y, x, hue >= 10 AND hue < 40 AND sat >= 40 AS d FROM {HUE})
@@ -528,8 +560,11 @@ def measured_heads(spark, d):
     uv = F.col("image_id") % 2 == 0
     px = px.withColumns({"code": F.expr("image_id div 2").cast("string"), "kind": F.when(uv, "uv").otherwise("visible"),
                          "view": F.when(uv, "V1").otherwise("VISIBLE"), "crop": F.lit("onion")})
-    masks = {("onion", "uv"): lambda p: S.uv_mask(p, 1.5), ("onion", "visible"): lambda p: S.visible_mask(p, 1.2)}
-    found = H.found_subjects(px, masks)
+    masks = {("onion", "uv"): lambda r, g, b: PK.uv(r, g, b, 1.5), ("onion", "visible"): lambda r, g, b: PK.visible(r, g, b, 1.2)}
+    frames = X.packed_frames(spark, d).withColumns({"crop": F.lit("onion"), "kind": F.when(uv, "uv").otherwise("visible")})
+    photos = frames.select("image_id", F.expr("image_id div 2").cast("string").alias("code"),
+                           F.when(uv, "V1").otherwise("VISIBLE").alias("view"), "crop", "kind")
+    found = cut_lineage(photos.join(PK.found(frames, masks), "image_id"))
     p = V.BlobParams(fine_window=3, coarse_window=5, fine_k=1.0, coarse_k=0.6, dilate=1, small_min=1, small_max=4,
                      large_min=5, height=N)
     return H.head_features(px, found, 1, p, N).join(H.capture_checks(found).drop("failed"), "code")
