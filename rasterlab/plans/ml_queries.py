@@ -3,9 +3,11 @@
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from rasterlab.operators import metrics as M, ml as L, paired as C
+from rasterlab import params as P
+from rasterlab.operators import fold_fits as FF, metrics as M, ml as L, paired as C
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd, table
+from rasterlab.session import cut_lineage
 
 
 def _data(spark, d):
@@ -35,8 +37,41 @@ def forest_cv(spark, d):
 
 @query("linear_cv")
 def linear_cv(spark, d):
-    return _table(spark, d, ("logistic L2", L.logistic()), ("logistic L1 balanced", L.logistic(0.5, True, "balanced")),
-                  ("naive bayes", L.gaussian_nb()))
+    """Five repeats of five folds."""
+    return L.compared(cut_lineage(FF.evaluate(_data(spark, d), [
+        ("logistic L2", FF.Logistic()), ("logistic L1 balanced", FF.Logistic(0.5, True, "balanced")), ("naive bayes", FF.Bayes())])))
+
+
+# The deal of the folds, and the training rows of each as a table: 64 values a row, y and the fold they are kept from.
+FOLDS = f"""(SELECT vec_id AS id, (label < 5)::int AS y, embedding::double[] AS v, repeat, ((row_number() OVER (PARTITION BY repeat, (label < 5)::int
+    ORDER BY ('0x' || substr(md5(({P.SEED} + repeat) || ':' || vec_id), 1, 8))::bigint, vec_id) - 1) % 5)::int AS own
+  FROM embeddings, (SELECT unnest(range(0, {{repeats}}))::int AS repeat))"""
+TRAINED = "(SELECT f.id, f.y, f.v, f.repeat, k.fold FROM folds f, (SELECT unnest(range(0, 5))::int AS fold) k WHERE f.own <> k.fold)"
+
+
+@query("bayes_cv_scores", f"""
+  WITH folds AS {FOLDS.format(repeats=5)}, t AS {TRAINED},
+  u AS (SELECT repeat, fold, y, unnest(v) AS e, generate_subscripts(v, 1) AS pos FROM t),
+  g AS (SELECT repeat, fold, y, pos, count(*) AS n, avg(e) AS mean, var_pop(e) AS var FROM u GROUP BY ALL),
+  w AS (SELECT repeat, fold, max(var) AS top FROM (SELECT repeat, fold, pos, var_pop(e) AS var FROM u GROUP BY ALL) GROUP BY ALL),
+  m AS (SELECT g.repeat, g.fold, y, pos, n, mean, var + 1e-9 * top AS var FROM g JOIN w USING (repeat, fold)),
+  x AS (SELECT id, y AS own_y, repeat, own AS fold, unnest(v) AS e, generate_subscripts(v, 1) AS pos FROM folds),
+  s AS (SELECT x.id, x.own_y, x.repeat, x.fold, m.y, ln(any_value(m.n)) - 0.5 * sum(ln(2 * pi() * m.var) + (e - m.mean) * (e - m.mean) / m.var) AS l
+        FROM x JOIN m ON x.repeat = m.repeat AND x.fold = m.fold AND x.pos = m.pos GROUP BY ALL)
+  SELECT repeat, fold, id, own_y AS y, {rnd('1 / (1 + exp(least(700, sum(CASE WHEN y = 0 THEN l ELSE -l END))))')} AS score FROM s GROUP BY repeat, fold, id, own_y""")
+def bayes_cv_scores(spark, d):
+    scored = FF.evaluate(_data(spark, d), [("naive bayes", FF.Bayes())])
+    return scored.select("repeat", "fold", "id", "y", F.round("score", 6).alias("score"))
+
+
+@query("fold_correlations", f"""
+  WITH folds AS {FOLDS.format(repeats=2)}, t AS {TRAINED},
+  u AS (SELECT id, repeat, fold, unnest(v) AS e, generate_subscripts(v, 1)::int - 1 AS pos FROM t)
+  SELECT a.repeat, a.fold, a.pos AS i, b.pos AS j, {rnd('corr(a.e, b.e)')} AS corr FROM u a JOIN u b
+    ON a.id = b.id AND a.repeat = b.repeat AND a.fold = b.fold AND a.pos <= b.pos GROUP BY 1, 2, 3, 4""")
+def fold_correlations(spark, d):
+    """What principal axes and scaling of every fold follow from."""
+    return FF.fold_correlations(_data(spark, d), 2).withColumn("corr", F.round("corr", 6))
 
 
 @query("svm_cv")
@@ -69,7 +104,9 @@ def tuned_threshold_cv(spark, d):
 
 @query("pca_cv")
 def pca_cv(spark, d):
-    return _table(spark, d, ("pca", L.pca(L.logistic(), 8)), ("pca without first", L.pca(L.logistic(), 8, True)))
+    """Five repeats of five folds."""
+    return L.compared(cut_lineage(FF.evaluate(_data(spark, d), [
+        ("pca", FF.Logistic(components=8)), ("pca without first", FF.Logistic(components=8, drop_first=True))])))
 
 
 @query("quantile_cv")
@@ -110,7 +147,6 @@ def grid_search_cv(spark, d):
 
 @query("finalists_fresh_seeds")
 def finalists_fresh_seeds(spark, d):
-    from rasterlab import params as P
     scored = L.evaluate(_data(spark, d), [L.Method("base", L.logistic(1.0)), L.Method("strong", L.logistic(0.01))],
                         repeats=2, k=2, seed=P.SEED + P.HOLDOUT_SEED_OFFSET)
     return C.paired_delta(M.fold_metrics(scored, ["name", "repeat", "fold"], with_auc=False), "base")
