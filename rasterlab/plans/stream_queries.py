@@ -75,8 +75,14 @@ SESSION_SQL = """
 
 @query("session_machine", SESSION_SQL)
 def session_machine(spark, d):
-    out = Z.capture_sessions(_as_capture(_events(spark, d)))
-    done = J.run_to_files(out, J.work_folder(spark, "sessions")).where(F.col("event_id").isNotNull())
+    """Events in order of time, whatever micro-batch brings them; a closing event releases the last hour."""
+    ends = J.work_folder(spark, "session-ends")
+    Z.closing(spark).limit(0).write.parquet(ends)
+    events = _as_capture(_events(spark, d))
+    last = spark.readStream.schema(Z.closing(spark).schema).parquet(ends).select(*events.columns)
+    out = Z.ordered_sessions(events.unionByName(last))
+    done = J.run_until_closed(out, J.work_folder(spark, "sessions"), lambda: Z.closing(spark).write.mode("append").parquet(ends))
+    done = done.where(F.col("event_id").isNotNull())
     return done.withColumn("captured", F.concat_ws(",", "captured")).drop("ts")
 
 

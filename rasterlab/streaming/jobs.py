@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterlab.operators import scans as T
 from rasterlab.session import checkpoint_root
@@ -29,6 +30,13 @@ def run_to_files(stream: DataFrame, folder: str, partition_by=()) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
+def run_until_closed(stream: DataFrame, folder: str, write_closing) -> DataFrame:
+    """``run_to_files``, then once more after ``write_closing()`` has added the event that ends the input."""
+    run_to_files(stream, folder)
+    write_closing()
+    return run_to_files(stream, folder)
+
+
 def append_scans(scored: DataFrame, folder: str) -> DataFrame:
     """Each finished scan is appended once, laid out by dataset and crop."""
     return run_to_files(T.with_crop(scored), folder, ["dataset", "crop"])
@@ -45,9 +53,10 @@ def running_counts(scored: DataFrame, folder: str, keys=("crop", "pred_label"))
     q = (counts.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    done = scored.sparkSession.read.schema(counts.schema).option("basePath", f"{folder}/counts").parquet(f"{folder}/counts")
-    return done.where(F.col("batch") == last).drop("batch")
+    # the last finished batch, of this run or an earlier one
+    done = scored.sparkSession.read.schema(StructType([*counts.schema, StructField("batch", LongType())])).option("basePath", f"{folder}/counts").parquet(f"{folder}/counts")
+    last = done.agg(F.max("batch")).first()[0]
+    return done.where(F.col("batch") == F.lit(last)).drop("batch")
 
 
 def joined_truth(scans: DataFrame, truths: DataFrame, within: str, delay: str) -> DataFrame:

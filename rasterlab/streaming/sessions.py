@@ -5,9 +5,11 @@ crop are fixed when it is created; it lives thirty minutes from then, however
 busy it is.
 """
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import takewhile
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +23,10 @@ EVENT_SCHEMA = ("session_id string, event_id bigint, ts timestamp, action string
 OUTPUT_SCHEMA = ("session_id string, event_id bigint, ts timestamp, action string, outcome string, dataset string, "
                  "crop string, sample_code string, captured array<string>, step int, all_captured boolean")
 STATE_SCHEMA = "created double, dataset string, crop string, code string, step int, captured array<string>"
+PENDING = ["at", "event_id", "ts", "action", "dataset", "crop", "sample_code", "files", "generated"]
+ORDERED_STATE = STATE_SCHEMA + ", pending array<string>"  # waiting events as JSON
+
+CLOSING = "\x00end"  # session of the event that ends a stream
 
 KIND = {name: kind for name, kind, _ in P.CAPTURE_STEPS}
 
@@ -154,6 +160,85 @@ def _rows(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
 
 
+def _expired(key, s: Session) -> tuple:
+    return key[0], None, None, "timer", "expired", s.dataset, s.crop, s.code, list(s.captured), s.step, False
+
+
+def _outcome(key, e, before: Session | None, s: Session | None, outcome: str) -> tuple:
+    seen = before if outcome == "finished" else s
+    done = seen is not None and seen.step >= len(P.CAPTURE_STEPS)
+    return (key[0], e.event_id, e.ts, e.action, outcome, seen.dataset if seen else e.dataset, seen.crop if seen else e.crop,
+            seen.code if seen else e.sample_code, list(seen.captured) if seen else [], seen.step if seen else 0, bool(done))
+
+
+def released(key, s: Session | None, pending: list, watermark: float) -> tuple[Session | None, list, list[tuple]]:
+    """The session after all pending events up to the watermark, in order of time and id; the events still
+    pending; and a row per event and per session that ran out."""
+    pending = sorted(pending, key=lambda e: (e.at, e.event_id is None, e.event_id or 0))
+    due = [e for e in pending if e.at <= watermark]
+    out = []
+    for e in due:
+        if s is not None and e.at - s.created > P.SESSION_TTL_SECONDS:
+            out.append(_expired(key, s))
+            s = None
+        before = s
+        s, outcome = advance(s, e)
+        out.append(_outcome(key, e, before, s, outcome))
+    if s is not None and s.created + P.SESSION_TTL_SECONDS < watermark:
+        out.append(_expired(key, s))
+        s = None
+    return s, pending[len(due):], out
+
+
+def _ordered_rows(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held = state.get if state.exists else None
+    s = None if held is None or held[0] is None else Session(*held[:5], list(held[5]))
+    pending = [] if held is None else [_event(*json.loads(x)) for x in held[6]]
+    if not state.hasTimedOut:
+        pending += [_event(*r) for pdf in pdfs for r in pdf[PENDING].itertuples(index=False)]
+    watermark = state.getCurrentWatermarkMs()
+    s, pending, out = released(key, s, pending, watermark / 1000)
+    if s is None and not pending:
+        if state.exists:
+            state.remove()
+    else:
+        own = (None, None, None, None, None, None) if s is None else (s.created, s.dataset, s.crop, s.code, s.step, s.captured)
+        state.update((*own, [json.dumps([str(v) if n == "ts" else v for n, v in vars(e).items()]) for e in pending]))
+        ends = [] if s is None else [s.created + P.SESSION_TTL_SECONDS]
+        soon = min([e.at for e in pending[:1]] + ends)
+        state.setTimeoutTimestamp(max(int(soon * 1000), watermark) + 1)
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]).astype({"event_id": "Int64"})
+
+
+def _event(at, event_id, ts, action, dataset, crop, sample_code, files, generated) -> SimpleNamespace:
+    known = event_id is not None and event_id == event_id
+    return SimpleNamespace(at=float(at), event_id=int(event_id) if known else None, ts=pd.Timestamp(ts), action=action, dataset=dataset, crop=crop,
+                           sample_code=sample_code, files=None if files is None else [str(f) for f in files], generated=generated)
+
+
+def ordered_sessions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """As ``capture_sessions``, with events applied in the order of their times across micro-batches.
+
+    Events wait in the session's state until the watermark has passed them, so one that arrives up to ``delay``
+    late takes its place; later ones are dropped by the stream. What waits per session is what arrives within ``delay``.
+    A session that runs out gives an ``expired`` row, also when a later event begins the next one. The last ``delay`` of a stream that ends is
+    released by an event with a later time (``closing``). Events without a time are never released.
+    """
+    timed = events.where("ts IS NOT NULL").withWatermark("ts", delay).withColumns({
+        "at": F.unix_micros("ts") / 1e6, "generated": generated_code(F.col("ts"), F.col("event_id"))})
+    return (timed.groupBy("session_id")
+            .applyInPandasWithState(_ordered_rows, OUTPUT_SCHEMA, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            .where(F.col("session_id") != CLOSING))
+
+
+def closing(spark, ts: str = "2200-01-01 00:00:00") -> DataFrame:
+    """One event that ends a stream of events."""
+    row = spark.range(1).select(F.lit(CLOSING).alias("session_id"), F.lit(None).cast("bigint").alias("event_id"),
+                                F.lit(ts).cast("timestamp").alias("ts"), F.lit("predict").alias("action"))
+    return row.selectExpr("*", *[f"cast(null as {t}) as {n}" for n, t in (x.split(" ", 1) for x in EVENT_SCHEMA.split(", ")[4:])])
+
+
 def capture_sessions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One outcome row per event. ``finished`` rows are completed scans,
     ``expired`` rows come from the timer, the rest are steps and rejects.
