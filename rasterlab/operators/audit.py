@@ -1,5 +1,7 @@
 """Data audit: completeness, duplicates, robust distances, correlations."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -8,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from rasterlab import params as P
+from rasterlab.functions.hashing import hash32
 from rasterlab.operators.ordered import quantiles
 from rasterlab.session import cut_lineage
 
@@ -88,31 +91,130 @@ def _sq_distance(mean: np.ndarray, inv: np.ndarray):
     return distance
 
 
-def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0.9, steps: int = 1000) -> DataFrame:
-    """Mahalanobis distance under the covariance of the closest ``support``
-    share of rows (minimum covariance determinant by concentration steps).
+def chi2_quantile(p: float, d: int) -> float:
+    """Quantile of the chi-square law, by bisection of its distribution function (a power series)."""
+    def below(x):
+        if x <= 0:
+            return 0.0
+        term = total = 1.0 / (d / 2)
+        k = 0
+        while term > 1e-17 * total:
+            k += 1
+            term *= (x / 2) / (d / 2 + k)
+            total += term
+        return math.exp(d / 2 * math.log(x / 2) - x / 2 - math.lgamma(d / 2)) * total
+    lo, hi = 0.0, d + 100.0 * math.sqrt(2 * d)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def _fit(x: np.ndarray):
+    mean = x.mean(axis=0)
+    return mean, (x - mean).T @ (x - mean) / len(x)
+
+
+def _squared(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return ((d @ np.linalg.pinv(cov)) * d).sum(axis=1)
+
+
+def starting_points(x: np.ndarray, support: float, starts: int, best: int, seed: int) -> list[np.ndarray]:
+    """(mean, covariance) of the ``best`` of many random starts after two concentration steps each on a sample."""
+    r, (n, d) = np.random.default_rng(seed), x.shape
+    h = max(min(n, d + 1), math.ceil(support * n))
+    found = []
+    for i in range(starts):
+        mean, cov = _fit(x if i == 0 else x[r.choice(n, min(n, d + 1), replace=False)])  # the first is all rows
+        for _ in range(2):
+            mean, cov = _fit(x[np.argsort(_squared(x, mean, cov), kind="stable")[:h]])
+        sign, det = np.linalg.slogdet(cov)
+        found.append((det if sign > 0 else -np.inf, i, mean, cov))
+    found.sort(key=lambda f: f[:2])
+    return [(m, c) for _, _, m, c in found[:best]]
+
+
+def concentrated(rows: DataFrame, models: dict[int, tuple], support: float, n: int) -> dict[int, tuple]:
+    """One concentration step of every model at once over rows with arrays ``x``: the closest ``support`` share of
+    all rows, and their mean and covariance. The number of the model is a key; no row is kept more than once a pass."""
+    numbers = sorted(models)
+
+    @F.pandas_udf("array<double>")
+    def far(x: pd.Series) -> pd.Series:
+        v = np.stack(x.to_numpy())
+        return pd.Series(list(np.stack([_squared(v, *models[k]) for k in numbers], axis=1)))
+    dist = rows.withColumn("d2", far("x"))
+    long = dist.select(F.posexplode("d2").alias("start", "d2"))
+    cuts = {r["start"]: r["cut"] for r in quantiles(long, ["start"], "d2", {"cut": support}, max_rows=n * len(numbers)).collect()}
+    center = {k: models[k][0] for k in numbers}
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            x, d2 = np.stack(b["x"].to_numpy()), np.stack(b["d2"].to_numpy())
+            for i, k in enumerate(numbers):
+                z = x[d2[:, i] <= cuts[i]] - center[k]
+                total[k] = total.get(k, 0) + np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
+        for k, v in total.items():
+            yield pd.DataFrame({"start": np.int32(k), "cell": np.arange(len(v), dtype=np.int32), "v": v})
+    cells = dist.select("x", "d2").mapInPandas(sums, "start int, cell int, v double").groupBy("start", "cell").agg(F.sum("v").alias("v")).collect()
+    d, out = len(center[numbers[0]]), {}
+    parts = {k: np.zeros(1 + d + d * d) for k in numbers}
+    for r in cells:
+        parts[r["start"]][r["cell"]] = r["v"]
+    for k, v in parts.items():
+        shift = v[1:1 + d] / v[0]
+        out[k] = center[k] + shift, v[1 + d:].reshape(d, d) / v[0] - np.outer(shift, shift)
+    return out
+
+
+def _log_det(cov: np.ndarray) -> float:
+    sign, det = np.linalg.slogdet(cov)
+    return det if sign > 0 else -np.inf
+
+
+START_ROWS = 1500  # rows, picked by hash, on which the starts are tried
+
+
+def robust_distance(df: DataFrame, id_: str, cols: list[str], support: float = 0.9, steps: int = 1000, starts: int = 100, best: int = 10,
+                    seed: int = P.SEED) -> DataFrame:
+    """Mahalanobis distance under the minimum covariance determinant of the closest ``support`` share of rows.
 
-    Each step is a covariance over the kept rows, a d x d inverse, and one
-    exact quantile for the next cut. Steps go on until the log determinant stops
-    falling (by 1e-4); it never rises, so ``steps`` is only a bound, and reaching it raises.
+    Many small starts take two concentration steps each on a bounded sample of rows. The ``best`` of them go over all rows side
+    by side, two steps again; the one with the least determinant goes on until it stops falling (by 1e-4;
+    it never rises, so ``steps`` is only a bound, and reaching it raises). The covariance is then made consistent with normal rows
+    by the median distance, and fitted once more on the rows within its 97.5 % ellipsoid. Rows with a null component
+    take no part; constant columns are left out; an outlying group beyond 1 - ``support`` cannot be told apart.
     """
     live = [c for c, (n, lo, hi) in zip(cols, _spans(df, cols)) if n and hi > lo]
-    base = cut_lineage(df.select(id_, F.array(*[F.col(f"`{c}`").cast("double") for c in live]).alias("x")))
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in live])
+    base = cut_lineage(df.select(id_, x.alias("x")).where(F.forall("x", lambda v: v.isNotNull())))
     n = base.count()
-    center = np.zeros(len(live))
-    kept, last = base, None
+    if not live or not n:
+        return base.select(id_, F.lit(0.0).alias("distance"))
+    rank = hash32(F.lit(seed), F.to_json(F.struct(id_, "x")))
+    sample = base.where(rank < int(min(1.0, START_ROWS / n) * 2 ** 32)).select("x").limit(2 * START_ROWS).collect()
+    values = np.array(sorted(r["x"] for r in sample)) if sample else np.array([base.first()["x"]])
+    models = dict(enumerate(starting_points(values, support, starts, best, seed)))
+    for _ in range(2):
+        models = concentrated(base, models, support, n)
+    k = min(models, key=lambda i: (_log_det(models[i][1]), i))
+    now, last = {k: models[k]}, None
     for _ in range(steps):
-        mean, cov = _moments(kept, center)
-        center = mean
-        dist = base.withColumn("d2", _sq_distance(mean, np.linalg.pinv(cov))("x"))
-        _, det = np.linalg.slogdet(cov)
+        det = _log_det(now[k][1])
         if last is not None and det >= last - 1e-4:
             break
         last = det
-        kept = dist.where(F.col("d2") <= quantiles(dist, [], "d2", {"cut": support}, max_rows=n).first()["cut"])
+        now = concentrated(base, now, support, n)
     else:
         raise RuntimeError(f"concentration steps did not converge in {steps}")
-    return dist.select(id_, F.sqrt("d2").alias("distance"))
+    mean, cov = now[k]
+    raw = base.withColumn("d2", _sq_distance(mean, np.linalg.pinv(cov))("x"))
+    factor = quantiles(raw, [], "d2", {"half": 0.5}, max_rows=n).first()["half"] / chi2_quantile(0.5, len(live))
+    if factor > 0:
+        mean, cov = _moments(raw.where(F.col("d2") / factor < chi2_quantile(0.975, len(live))), mean)
+    return base.select(id_, F.sqrt(_sq_distance(mean, np.linalg.pinv(cov))("x")).alias("distance"))
 
 
 def _spans(df: DataFrame, cols):

@@ -113,6 +113,20 @@ def stacked(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def named_report(comparison: DataFrame, *others: DataFrame, name: str = "name") -> DataFrame:
+    """Every row of the comparison with the paired, robustness and other tables of the same ``name`` beside it.
+
+    Methods that a table lacks have NULLs. A column that the report has already gets the number of
+    its table as suffix (``kappa_2``). A table that repeats a name is an error, it would repeat methods.
+    """
+    out = comparison
+    for i, t in enumerate(others, 2):
+        if not t.groupBy(name).count().where("count > 1").isEmpty():
+            raise ValueError(f"table {i} of the report repeats a {name}")
+        out = out.join(t.select(name, *[F.col(f"`{c}`").alias(f"{c}_{i}" if c in out.columns else c) for c in t.columns if c != name]), name, "left")
+    return out
+
+
 def best_row(df: DataFrame, by: str, tie: str, keys=()) -> DataFrame:
     """Row with the largest ``by``; the smallest ``tie`` wins ties."""
     cols = df.columns

@@ -1,10 +1,11 @@
 """From normalised pixels to one feature row per view and per head."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from rasterlab import params as P
@@ -114,19 +115,60 @@ def _dense_udf(p: BlobParams):
     return scan
 
 
+def nearest_distances(pts: np.ndarray, dense: int = 32, block: int = 1 << 20) -> np.ndarray:
+    """Distance of each point to its nearest other one, inf for a single point.
+
+    Points are looked up in grids: the first is fine enough that a cell holds ``dense`` different points at most; a point that
+    finds none in the cells around its own as near as a cell is wide goes on to a grid of twice the width. Those
+    that go on are that far from each other, so few of them meet the many points of a crowded place.
+    """
+    n = len(pts)
+    if n < 2:
+        return np.full(n, np.inf)
+    u, place, count = np.unique(pts, axis=0, return_inverse=True, return_counts=True)
+    best = np.where(count > 1, 0.0, np.inf)  # squared; equal points are nearest to each other
+    low, span = u.min(axis=0), float(np.ptp(u, axis=0).max())
+    if len(u) > 1:
+        width = span / np.sqrt(len(u))
+        while span / width < 2 ** 28:
+            _, held = np.unique(np.floor((u - low) / width).astype(np.int64) @ np.array([1 << 31, 1]), return_counts=True)
+            if held.max() <= dense:
+                break
+            width /= 2
+        left = np.flatnonzero(best > 0)
+        while len(left):
+            cell = np.floor((u - low) / width).astype(np.int64)
+            key = (cell + 1) @ np.array([1 << 31, 1])
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    near = key[left] + dx * (1 << 31) + dy
+                    lo, hi = np.searchsorted(ordered, near), np.searchsorted(ordered, near, side="right")
+                    size = hi - lo
+                    ends = np.cumsum(size)
+                    at = 0
+                    while at < len(left):  # bounded blocks of pairs
+                        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
+                        m = size[at:to]
+                        i = np.repeat(left[at:to], m)
+                        j = order[np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                        d = ((u[i] - u[j]) ** 2).sum(axis=1)
+                        d[i == j] = np.inf
+                        np.minimum.at(best, i, d)
+                        at = to
+            left = left[best[left] > width * width]
+            width *= 2
+    return np.sqrt(best)[place.ravel()]
+
+
 @F.pandas_udf(DoubleType())
 def _mean_nearest(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Mean distance to the nearest other point of the same array."""
     out = []
     for x, y in zip(xs, ys):
-        pts = np.column_stack([x, y]).astype(float)
-        n = len(pts)
-        best = np.empty(n)
-        for i in range(0, n, 256):  # blocks bound the memory of one image
-            d = ((pts[i:i + 256, None, :] - pts[None, :, :]) ** 2).sum(-1)
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            best[i:i + len(d)] = d.min(axis=1)
-        out.append(float(np.sqrt(best).mean()) if n > 1 else None)
+        d = nearest_distances(np.column_stack([x, y]).astype(float))
+        out.append(float(d.mean()) if len(d) > 1 else None)
     return pd.Series(out)
 
 
@@ -176,39 +218,65 @@ def _share(values: str, beyond):
     return F.try_divide(F.size(F.filter(values, beyond)), F.size(values))
 
 
-def _colour_aggs():
-    """Aggregates over prepared pixels; those that need an order gather a
-    frame's worth of numbers, to be sorted per image."""
-    aggs = [F.avg(_only("valid", f"lin_{c}")).alias(f"mean_{c}") for c in "RGB"]
-    aggs += [F.stddev_pop(_only("valid", f"lin_{c}")).alias(f"sd_{c}") for c in "RGB"]
-    return aggs + [
-        F.avg(_only("valid", "bright")).alias("brightness_mean"),
-        F.stddev_pop(_only("valid", "bright")).alias("brightness_sd"), F.avg(_only("roi", "ndfi")).alias("NDFI_mean"),
+@dataclass(frozen=True)
+class Feature:
+    """A feature of a frame: its name and what builds it. ``order`` 0: an aggregate over prepared pixels;
+    1: an expression over the sorted arrays ``_valid``, ``_roi``, ``_ndfi``, the median ``_med`` and ``_spread``."""
+    name: str
+    builder: Callable[[], Column]
+    order: int = 0
+
+
+def _mean_of(c: str, cond: str = "valid"):
+    return lambda: F.avg(_only(cond, c))
+
+
+def _sd_of(c: str, cond: str = "valid"):
+    return lambda: F.stddev_pop(_only(cond, c))
+
+
+#: every colour feature once: the aggregates, the output columns and the check of both follow from this list
+COLOUR_LIST = [
+    *[Feature(f"mean_{c}", _mean_of(f"lin_{c}")) for c in "RGB"], *[Feature(f"sd_{c}", _sd_of(f"lin_{c}")) for c in "RGB"],
+    Feature("brightness_mean", _mean_of("bright")), Feature("brightness_sd", _sd_of("bright")),
+    Feature("NDFI_mean", _mean_of("ndfi", "roi")),
+    Feature("A_high", lambda: _share("_roi", lambda v: v > F.col("_med") + F.col("_spread")), 1),
+    Feature("A_low", lambda: _share("_roi", lambda v: v < F.col("_med") - F.col("_spread")), 1),
+    Feature("F_p95", lambda: _quantile("_roi", 0.95), 1), Feature("F_p05", lambda: _quantile("_roi", 0.05), 1),
+    Feature("NDFI_p95", lambda: _quantile("_ndfi", 0.95), 1), Feature("NDFI_p05", lambda: _quantile("_ndfi", 0.05), 1)]
+
+
+def checked(features: list[Feature]) -> list[Feature]:
+    names = [f.name for f in features]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"features listed twice: {twice}")
+    if bad := [n for n in names if n.startswith("_") or n == "image_id"]:
+        raise ValueError(f"names that features cannot have: {bad}")
+    return features
+
+
+def _colour_aggs(features: list[Feature] = COLOUR_LIST):
+    """One aggregate plan over prepared pixels; what needs an order gathers a frame's worth of numbers."""
+    return [f.builder().alias(f.name) for f in checked(features) if f.order == 0] + [
         F.sort_array(F.collect_list(_only("valid", "bright"))).alias("_valid"),
         F.sort_array(F.collect_list(_only("roi", "bright"))).alias("_roi"),
         F.sort_array(F.collect_list(_only("roi", "ndfi"))).alias("_ndfi")]
 
 
-def _ordered_features(out: DataFrame, keep=()) -> DataFrame:
-    """Median, MAD, anomaly shares and percentiles from the sorted arrays; an
-    image without pixels in a mask gets zeros."""
+def _ordered_features(out: DataFrame, keep=(), features: list[Feature] = COLOUR_LIST) -> DataFrame:
+    """What the sorted arrays give; an image without pixels in a mask gets zeros."""
     out = out.withColumn("_med", F.coalesce(_quantile("_valid", 0.5), F.lit(0.0)))
     out = out.withColumn("_dev", F.sort_array(F.transform("_valid", lambda v: F.abs(v - F.col("_med")))))
     out = out.withColumn("_spread", F.coalesce(_quantile("_dev", 0.5), F.lit(0.0)) * P.MAD_SCALE * P.ANOMALY_K)
-    out = out.withColumns({
-        "A_high": _share("_roi", lambda v: v > F.col("_med") + F.col("_spread")),
-        "A_low": _share("_roi", lambda v: v < F.col("_med") - F.col("_spread")),
-        "F_p95": _quantile("_roi", 0.95), "F_p05": _quantile("_roi", 0.05),
-        "NDFI_p95": _quantile("_ndfi", 0.95), "NDFI_p05": _quantile("_ndfi", 0.05)})
+    out = out.withColumns({f.name: f.builder() for f in features if f.order == 1})
     return out.select("image_id", *keep, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in out.columns
                                            if c not in ("image_id", *keep) and not c.startswith("_")])
 
 
-def colour_stats(px: DataFrame) -> DataFrame:
-    """Colour, brightness, texture, anomaly-area and NDFI features per image,
-    with the texture by windows. One pass over the pixels."""
+def colour_stats(px: DataFrame, features: list[Feature] = COLOUR_LIST) -> DataFrame:
+    """The listed features and the texture (by windows) per image. One pass over the pixels."""
     return _ordered_features(R.laplacian(px, "bright").groupBy("image_id").agg(
-        *_colour_aggs(), F.stddev_pop(_only("valid", "lap")).alias("texture")))
+        *_colour_aggs(features), F.stddev_pop(_only("valid", "lap")).alias("texture")), features=features)
 
 
 def frame_stats(px: DataFrame, p: BlobParams = BlobParams()) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Evaluation queries: ROC, thresholds, folds, bootstrap, paired comparison, audit."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rasterlab import params as P
@@ -81,6 +82,25 @@ def robust_distance(spark, d):
     return A.robust_distance(wide, "id", cols)
 
 
+@query("concentration_step", f"""
+  WITH e AS (SELECT label, embedding[1]::double AS a, embedding[2]::double AS b FROM embeddings),
+  m AS (SELECT 0 AS start, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab FROM e
+    UNION ALL SELECT 1, avg(a), avg(b), var_pop(a), var_pop(b), covar_pop(a, b) FROM e WHERE label = 0),
+  d AS (SELECT start, a, b, (vb * pow(a - ma, 2) - 2 * ab * (a - ma) * (b - mb) + va * pow(b - mb, 2)) / (va * vb - ab * ab) AS d2 FROM e, m),
+  c AS (SELECT start, quantile_cont(d2, 0.75) AS cut FROM d GROUP BY 1)
+  SELECT start, {rnd('avg(a)')} AS mean_a, {rnd('avg(b)')} AS mean_b, {rnd('var_pop(a)')} AS var_a, {rnd('covar_pop(a, b)')} AS cov_ab, {rnd('var_pop(b)')} AS var_b
+  FROM d JOIN c USING (start) WHERE d2 <= cut GROUP BY 1""")
+def concentration_step(spark, d):
+    """Two starts, all rows and those of one label, through one step side by side."""
+    wide, _ = X.wide_features(spark, d, 2)
+    rows = wide.select("id", F.array("f00", "f01").alias("x"))
+    zero = table(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"))
+    models = {i: A._moments(part, np.zeros(2)) for i, part in enumerate((rows, rows.join(zero, "id", "left_semi")))}
+    got = A.concentrated(rows, models, 0.75, rows.count())
+    out = [(i, *(round(float(v), 6) + 0.0 for v in (*m, c[0, 0], c[0, 1], c[1, 1]))) for i, (m, c) in got.items()]
+    return spark.createDataFrame(out, "start int, mean_a double, mean_b double, var_a double, cov_ab double, var_b double")
+
+
 @query("corr_matrix", """
   SELECT a, b, round(corr, 6) + 0.0 AS corr FROM (
     SELECT 'quantity' AS a, 'extendedprice' AS b, abs(corr(q, e)) AS corr FROM o
@@ -472,6 +492,23 @@ def fresh_repeats(spark, d):
     return _round(C.fresh_repeats(_method_folds(spark, d), 2), "kappa_fresh_repeats", "accuracy_fresh_repeats")
 
 
+@query("named_report", f"""
+  WITH f AS ({FOLDS_SQL}), s AS (SELECT name, avg(accuracy) AS accuracy, avg(kappa) AS kappa FROM f GROUP BY 1),
+  p AS (SELECT a.name, avg(a.kappa - b.kappa) AS d, count(a.kappa - b.kappa) AS n FROM f a JOIN f b ON a.repeat = b.repeat AND a.fold = b.fold AND b.name = 'base'
+        WHERE a.name <> 'base' GROUP BY 1),
+  r AS (SELECT name, avg(kappa) AS kappa, avg(accuracy) AS accuracy FROM f WHERE repeat >= 2 AND name <> 'vote' GROUP BY 1)
+  SELECT s.name, {rnd('s.accuracy')} AS accuracy, {rnd('s.kappa')} AS kappa, p.n AS folds, {rnd('p.d')} AS d_mean,
+         {rnd('r.kappa')} AS kappa_fresh_repeats, {rnd('r.accuracy')} AS accuracy_fresh_repeats
+  FROM s LEFT JOIN p ON s.name = p.name LEFT JOIN r ON s.name = r.name""")
+def named_report(spark, d):
+    """Comparison, paired and robustness tables of the methods side by side."""
+    f = _method_folds(spark, d)
+    table_ = M.fold_summary(f, ["name"], ["accuracy", "kappa"]).select("name", "accuracy", "kappa")
+    paired = C.paired_delta(f, "base").select("name", "folds", "d_mean")
+    out = C.named_report(table_, paired, C.fresh_repeats(f.where(F.col("name") != "vote"), 2))
+    return _round(out, "accuracy", "kappa", "d_mean", "kappa_fresh_repeats", "accuracy_fresh_repeats")
+
+
 @query("leakage_gap", f"""
   WITH s AS (SELECT name, fold AS k, avg(kappa) AS kappa, avg(accuracy) AS accuracy FROM ({FOLDS_SQL}) GROUP BY 1, 2)
   SELECT a.k, {rnd('b.kappa - a.kappa')} AS kappa_gap, {rnd('b.accuracy - a.accuracy')} AS accuracy_gap

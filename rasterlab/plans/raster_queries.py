@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rasterlab.functions import colour as C
 from rasterlab.operators import components as K, measure as H, packed as PK, pixel_features as V, raster as R, subject as S
 from rasterlab.plans import fixtures as X
-from rasterlab.plans.registry import query, rnd
+from rasterlab.plans.registry import query, rnd, table
 from rasterlab.session import cut_lineage
 
 P = f"({X.SCALAR_SQL})"
@@ -280,6 +280,19 @@ def nn_density(spark, d):
     return _round(V.nearest_density(K.blob_table(_labels(spark, d, 4))), "cluster_density")
 
 
+@query("nn_density_crowded", f"""
+  WITH b AS (SELECT l_suppkey % 40 AS image_id, l_orderkey * 8 + l_linenumber AS label, (l_partkey * 131 % 6400) / 10.0 AS cx, (l_orderkey * 37 % 6400) / 10.0 AS cy
+    FROM lineitem),
+  n AS (SELECT a.image_id, a.label, min(pow(a.cx - o.cx, 2) + pow(a.cy - o.cy, 2)) AS d FROM b a JOIN b o ON a.image_id = o.image_id AND a.label <> o.label GROUP BY 1, 2)
+  SELECT image_id, {rnd('1 / (avg(sqrt(d)) + 1e-6)')} AS cluster_density FROM n GROUP BY 1""")
+def nn_density_crowded(spark, d):
+    """Frames of well over a thousand dots."""
+    t = table(spark, d, "lineitem")
+    dots = t.select((F.col("l_suppkey") % 40).alias("image_id"), ((F.col("l_partkey") * 131 % 6400) / 10.0).alias("cx"),
+                    ((F.col("l_orderkey") * 37 % 6400) / 10.0).alias("cy"))
+    return _round(V.nearest_density(dots), "cluster_density")
+
+
 @query("blob_summary", f"""
   WITH RECURSIVE {label_sql(HOT, 4)}, {BLOBS}, s AS (SELECT image_id, count(*) FILTER (area <= 4) AS ns, count(*) FILTER (area > 4) AS nl,
     avg(2 * sqrt(area / pi())) FILTER (area <= 4) AS ds, avg(2 * sqrt(area / pi())) FILTER (area > 4) AS dl, max(area) AS mx FROM b GROUP BY 1)
@@ -534,6 +547,17 @@ VIEW_SQL = f"""
   FROM ({COLOUR_SQL}) k LEFT JOIN sm USING (image_id) LEFT JOIN lg USING (image_id) LEFT JOIN den USING (image_id)"""
 
 
+@query("feature_by_one_entry", f"""
+  WITH p AS (SELECT image_id, lum, roi, greatest(r, g, b) < 250 AS fine, g >= greatest(r, b) AS green FROM {PREP})
+  SELECT k.image_id, k."brightness_mean", k."F_p95", {rnd('coalesce(q.s, 0)')} AS green_share FROM ({COLOUR_SQL}) k
+  LEFT JOIN (SELECT image_id, avg(green::int) AS s FROM p WHERE roi GROUP BY 1) q USING (image_id)""")
+def feature_by_one_entry(spark, d):
+    """A feature more in the list: share of the region whose green channel is the largest."""
+    more = [*V.COLOUR_LIST, V.Feature("green_share", lambda: F.avg(F.when(F.col("roi"), (F.col("g") >= F.greatest("r", "b")).cast("int"))))]
+    out = V.colour_stats(V.prepared(X.rgb_pixels(spark, d)), more)
+    return _round(out, *out.columns[1:]).select("image_id", "brightness_mean", "F_p95", "green_share")
+
+
 @query("view_features", VIEW_SQL)
 def view_features(spark, d):
     """All 23 features of every frame, with windows that fit an 8 x 8 frame."""

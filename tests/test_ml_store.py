@@ -66,15 +66,44 @@ def test_robust_distance_against_numpy(spark):
     x[:12] += 25
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(200), flat=1.0))
     got = A.robust_distance(df, "id", ["a", "b", "c", "flat"]).orderBy("id").toPandas().distance.to_numpy()
-    keep, last = np.ones(200, bool), None
-    for _ in range(10):
-        mean, cov = x[keep].mean(0), np.cov(x[keep].T, bias=True)
-        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        det = np.linalg.slogdet(cov)[1]
-        if last is not None and det >= last - 1e-4:
-            break
-        last, keep = det, d2 <= np.quantile(d2, 0.9)
-    assert np.allclose(got, np.sqrt(d2)) and set(np.argsort(-got)[:12]) == set(range(12))
+    best = None
+    for i in range(200):  # every start to its end
+        keep = np.isin(np.arange(200), rng.choice(200, 4, replace=False))
+        last = None
+        while True:
+            mean, cov = x[keep].mean(0), np.cov(x[keep].T, bias=True)
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and det >= last - 1e-9:
+                break
+            last = det if keep.sum() > 4 else None
+            keep = d2 <= np.quantile(d2, 0.9)
+        if best is None or det < best[0] - 1e-9:
+            best = det, d2
+    raw = best[1] * 2.3659738843753377 / np.median(best[1])  # the median of the chi-square law of 3
+    keep = raw < 9.348403604496148                          # its .975 quantile
+    mean, cov = x[keep].mean(0), np.cov(x[keep].T, bias=True)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
+    assert np.allclose(got, want, rtol=1e-3) and set(np.argsort(-got)[:12]) == set(range(12))
+
+
+def test_a_cluster_of_a_fifth_of_the_rows_is_found(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)) * [1, 3, 1, 2]
+    x[:60] = [9, -20, 9, 14] + 0.2 * rng.normal(size=(60, 4))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(id=range(300))).repartition(3)
+    got = A.robust_distance(df, "id", list("abcd"), support=0.7).orderBy("id").toPandas().distance.to_numpy()
+    assert set(np.argsort(-got)[:60]) == set(range(60)) and got[:60].min() > 3 * np.quantile(got[60:], 0.9)
+    plain = x - x.mean(0)
+    assert not set(np.argsort(-np.einsum("ij,jk,ik->i", plain, np.linalg.inv(np.cov(x.T)), plain))[:60]) == set(range(60))
+    odd = df.withColumn("a", F.when(F.col("id") == 5, F.lit(None)).otherwise(F.col("a")))
+    assert A.robust_distance(odd, "id", list("abcd")).count() == 299
+    assert A.robust_distance(df.limit(0), "id", list("abcd")).count() == 0
+
+
+def test_chi_square_quantiles():
+    assert np.allclose([A.chi2_quantile(0.5, 3), A.chi2_quantile(0.975, 3), A.chi2_quantile(0.975, 64)],
+                       [2.3659738843753377, 9.348403604496148, 88.00405], rtol=1e-6)
 
 
 def test_robust_distance_goes_on_until_it_converges(spark):
