@@ -281,7 +281,7 @@ def nn_density(spark, d):
 
 
 @query("nn_density_crowded", f"""
-  WITH b AS (SELECT l_suppkey % 40 AS image_id, l_orderkey * 8 + l_linenumber AS label, (l_partkey * 131 % 6400) / 10.0 AS cx, (l_orderkey * 37 % 6400) / 10.0 AS cy
+  WITH b AS (SELECT l_suppkey % 40 AS image_id, row_number() OVER () AS label, (l_partkey * 131 % 6400) / 10.0 AS cx, (l_orderkey * 37 % 6400) / 10.0 AS cy
     FROM lineitem),
   n AS (SELECT a.image_id, a.label, min(pow(a.cx - o.cx, 2) + pow(a.cy - o.cy, 2)) AS d FROM b a JOIN b o ON a.image_id = o.image_id AND a.label <> o.label GROUP BY 1, 2)
   SELECT image_id, {rnd('1 / (avg(sqrt(d)) + 1e-6)')} AS cluster_density FROM n GROUP BY 1""")
