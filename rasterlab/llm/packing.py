@@ -11,6 +11,7 @@ occur.
 """
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +27,7 @@ OPENED = 12          # times as many if they are single pieces
 NEARLY = 8           # a bin with at most so many free places is emitted
 CACHE_WORDS = 400_000  # cached words of each half of a worker's cache
 MARKS = ".,;:!?"       # marks that may follow a word; each is a run of its own
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # letters that stay one letter in the tokenizer's normal form
 
 
 class WordTokens:
@@ -79,7 +81,7 @@ class WordTokens:
 
     def _letters(self, word: str) -> bool:
         """Whether the tokenizer sees nothing but letters (its normal form may take a letter apart)."""
-        return word.isalpha() and (word.isascii() or self.t.normalizer.normalize_str(word).isalpha())
+        return word.isalpha() and (word.isascii() or _LATIN(word) is not None or self.t.normalizer.normalize_str(word).isalpha())
 
     def _together(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
