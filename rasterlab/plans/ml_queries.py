@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rasterlab import params as P
-from rasterlab.operators import fold_fits as FF, metrics as M, ml as L, paired as C
+from rasterlab.operators import fold_fits as FF, fold_trees as FT, metrics as M, ml as L, paired as C
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd, table
 from rasterlab.session import cut_lineage
@@ -74,6 +74,36 @@ def fold_correlations(spark, d):
     return FF.fold_correlations(_data(spark, d), 2).withColumn("corr", F.round("corr", 6))
 
 
+@query("stump_cv_scores", f"""
+  WITH folds AS {FOLDS.format(repeats=5)}, t AS {TRAINED},
+  q AS (SELECT pos, unnest(quantile_cont(e, [i / {FT.BINS}.0 FOR i IN range(1, {FT.BINS})])) AS cut, unnest(range(1, {FT.BINS})) AS c
+        FROM (SELECT unnest(embedding::double[]) AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos),
+  u AS (SELECT repeat, fold, y::double AS y, unnest(v) AS e, generate_subscripts(v, 1) AS pos FROM t),
+  a AS (SELECT repeat, fold, count(*)::double AS n, sum(y::double) AS s FROM t GROUP BY ALL),
+  l AS (SELECT repeat, fold, u.pos, c, cut, count(*)::double AS nl, sum(y) AS sl FROM u JOIN q ON u.pos = q.pos AND u.e <= q.cut GROUP BY ALL),
+  g AS (SELECT l.*, n, s, round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / n, 10) AS gain FROM l JOIN a USING (repeat, fold) WHERE nl < n),
+  b AS (SELECT * FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY repeat, fold ORDER BY gain DESC, pos, c) = 1)
+  SELECT f.repeat, f.own AS fold, f.id, f.y, {rnd('CASE WHEN b.cut IS NULL THEN a.s / a.n WHEN f.v[b.pos] <= b.cut THEN b.sl / b.nl ELSE (b.s - b.sl) / (b.n - b.nl) END')} AS score
+  FROM folds f JOIN a ON a.repeat = f.repeat AND a.fold = f.own LEFT JOIN b ON b.repeat = f.repeat AND b.fold = f.own""")
+def stump_cv_scores(spark, d):
+    """Trees of one cut in five repeats of five folds."""
+    scored = FT.evaluate(_data(spark, d), [("stump", FT.Forest(1, depth=1, features=0, bootstrap=False))])
+    return scored.select("repeat", "fold", "id", "y", F.round("score", 6).alias("score"))
+
+
+@query("forest_folds")
+def forest_folds(spark, d):
+    """Five repeats of five folds, forests of 400 full trees."""
+    return L.compared(cut_lineage(FT.evaluate(_data(spark, d), [("forest", FT.Forest())])))
+
+
+@query("boosting_folds")
+def boosting_folds(spark, d):
+    """Five repeats of five folds, 100 rounds."""
+    return L.compared(cut_lineage(FT.evaluate(_data(spark, d), [
+        ("boost d2", FT.Boosting()), ("stumps", FT.Boosting(1, subsample=0.8)), ("boost d3 balanced", FT.Boosting(3, weights="balanced"))])))
+
+
 @query("svm_cv")
 def svm_cv(spark, d):
     return _table(spark, d, ("svm", L.linear_svm(k=2)))
