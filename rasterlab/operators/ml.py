@@ -28,6 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from rasterlab import params as P
 from rasterlab.functions import rules
 from rasterlab.operators import audit as A, metrics as M, resample as B
+from rasterlab.operators.neighbours import nearest_scores
 from rasterlab.operators.ordered import quantiles
 from rasterlab.session import cut_lineage
 
@@ -352,55 +353,13 @@ def selected_l1(base: Fit, c: float = 0.5, record: list | None = None) -> Fit:
 
 # --- nearest neighbours -------------------------------------------------------
 
-def nearest_scores(train: DataFrame, test: DataFrame, k: int = 5, by_distance: bool = False,
-                   block_rows: int = 100_000) -> DataFrame:
-    """(id, score) of the test rows from their k nearest training rows.
-
-    Exact, by blocks: training rows are dealt to ``b`` blocks and test rows to
-    ``s`` shards, each (shard, block) meets in one task as two matrices, and
-    only k candidates per test row leave it. Both sides of a task are bounded
-    by ``block_rows``.
-    """
-    b = max(1, math.ceil(train.count() / block_rows))
-    s = max(1, math.ceil(test.count() / block_rows))
-    tr = train.select(F.col("id").alias("tid"), "y", vector_to_array("features").alias("x"),
-                      F.pmod(F.hash("id"), F.lit(b)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_s"))
-    te = test.select("id", vector_to_array("features").alias("x"), F.pmod(F.hash("id"), F.lit(s)).alias("_s"),
-                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_b"))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = {"id": [], "tid": [], "d": [], "y": []}
-        if len(left) and len(right):
-            r = np.stack(right["x"].to_numpy())
-            tid, y = right["tid"].to_numpy(), right["y"].to_numpy()
-            step = max(1, 4_000_000 // len(right))
-            for i in range(0, len(left), step):
-                q = np.stack(left["x"].iloc[i:i + step].to_numpy())
-                d = np.maximum((q ** 2).sum(1)[:, None] - 2 * q @ r.T + (r ** 2).sum(1)[None, :], 0)
-                order = np.lexsort((np.broadcast_to(tid, d.shape), np.round(d, 9)), axis=1)[:, :k]
-                cols["id"].append(np.repeat(left["id"].to_numpy()[i:i + step], order.shape[1]))
-                cols["tid"].append(tid[order].ravel())
-                cols["d"].append(np.sqrt(np.take_along_axis(d, order, 1)).ravel())
-                cols["y"].append(y[order].ravel())
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in cols.items()})
-
-    near = te.groupBy("_s", "_b").cogroup(tr.groupBy("_s", "_b")).applyInPandas(
-        meet, "id bigint, tid bigint, d double, y int")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("d", "tid", "y"))), 1, k)  # k per block
-    top = near.groupBy("id").agg(best.alias("_n"))
-    w = (lambda e: 1 / F.greatest(e["d"], F.lit(1e-12))) if by_distance else (lambda e: F.lit(1.0))
-    num = F.aggregate("_n", F.lit(0.0), lambda acc, e: acc + w(e) * e["y"])
-    den = F.aggregate("_n", F.lit(0.0), lambda acc, e: acc + w(e))
-    return top.select("id", (num / den).alias("score"))
-
-
 def nearest(k: int = 5, by_distance: bool = False, threshold: float = 0.5, block_rows: int = 100_000) -> Fit:
     def fit(train, seed):
         model = _scale().fit(train)
 
         def scaled(df):
             return model.transform(df).drop("features").withColumnRenamed("scaled", "features")
-        return (lambda df: df.join(nearest_scores(scaled(train), scaled(df), k, by_distance, block_rows), "id"),
+        return (lambda df: df.join(nearest_scores(scaled(train), scaled(df), k, by_distance, block_rows=block_rows), "id"),
                 threshold)
     return fit
 
