@@ -2,15 +2,17 @@
 
 A mask row is first cut into horizontal runs with a window. The runs of one
 band of rows are then merged inside tasks, and bands of the same image are
-merged over the runs that meet at their seams. A band holds at most
-``BAND_ROWS`` sensor rows, so the work of one group is bounded however tall
-the frame is.
+merged over the runs that meet at their seams, two blocks of bands at a time.
+A band holds at most ``BAND_ROWS`` sensor rows and a seam at most one row of
+runs, so the work of one group is bounded however tall the frame is.
 """
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
+
+from rasterlab.session import cut_lineage
 
 BAND_ROWS = 1024
 
@@ -97,30 +99,52 @@ def label_runs(runs: DataFrame, connectivity: int = 4, height: int | None = None
         return _merged(runs, ["image_id"], reach)
     banded = runs.withColumn("_band", F.floor(F.col("y") / band_rows).cast("int"))
     part = _merged(banded, ["image_id", "_band"], reach).drop("_band")
+    code = F.shiftleft(F.col("ly").cast("bigint"), 31) + F.col("lx")  # orders labels as they are read
     last = part.where(F.col("y") % band_rows == band_rows - 1).select(
-        "image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"),
-        F.struct(F.col("ly").alias("y"), F.col("lx").alias("x")).alias("a"))
-    first = part.where((F.col("y") % band_rows == 0) & (F.col("y") > 0)).select(
-        "image_id", "y", "x0", "x1", F.struct(F.col("ly").alias("y"), F.col("lx").alias("x")).alias("b"))
+        "image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), code.alias("a"))
+    first = part.where((F.col("y") % band_rows == 0) & (F.col("y") > 0)).select("image_id", "y", "x0", "x1", code.alias("b"))
     seams = first.join(last, ["image_id", "y"]).where(
         (F.col("x0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("x1") + reach)).select(
-        "image_id", "a", "b").distinct()
-    merged = seams.groupBy("image_id").agg(F.collect_list(F.struct("a", "b")).alias("_e"))
-    merged = merged.withColumn("_n", F.array_sort(F.array_distinct(F.concat(F.col("_e.a"), F.col("_e.b")))))
-    merged = merged.withColumn("_l", _edge_udf(
-        F.size("_n"), F.transform("_e", lambda e: F.array_position("_n", e["a"]).cast("int") - 1),
-        F.transform("_e", lambda e: F.array_position("_n", e["b"]).cast("int") - 1)))
-    roots = merged.select("image_id", F.inline(F.transform("_n", lambda n, i: F.struct(
-        n["y"].alias("ly"), n["x"].alias("lx"), F.col("_n")[F.col("_l")[i]].alias("_root")))))
+        "image_id", F.expr(f"int(y div {band_rows})").alias("seam"), "a", "b").distinct()
+    roots = _seam_roots(cut_lineage(seams), -(-height // band_rows)).select(
+        "image_id", F.shiftright("node", 31).cast("int").alias("ly"), F.expr("int(node & 2147483647)").alias("lx"), "root")
     joined = part.join(roots, ["image_id", "ly", "lx"], "left")
-    return joined.withColumns({"ly": F.coalesce(F.col("_root.y"), F.col("ly")),
-                               "lx": F.coalesce(F.col("_root.x"), F.col("lx"))}).drop("_root")
+    return joined.withColumns({"ly": F.coalesce(F.shiftright("root", 31).cast("int"), F.col("ly")),
+                               "lx": F.coalesce(F.expr("int(root & 2147483647)"), F.col("lx"))}).drop("root")
+
 
+def _seam_roots(seams: DataFrame, bands: int) -> DataFrame:
+    """(image_id, node, root) of the labels that meet at a seam; ``seams`` holds an edge (a, b) a row.
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _edge_udf(sizes: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_roots(int(n), np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)).astype(np.int32)
-                      for n, x, y in zip(sizes, a, b)])
+    Bands are joined in rounds, like a tournament: round r closes every seam whose number is an odd multiple of
+    2**r, and so joins two blocks of 2**r bands. A group is one seam of one image, at most a frame's width of edges
+    whatever the number of bands, and the blocks of a round share no label, so all its seams are closed side by
+    side. The number of rounds follows from the height alone.
+    """
+    ends = F.explode(F.array("a", "b")).alias("node")
+    nodes = cut_lineage(seams.select("image_id", ends).distinct().withColumn("root", F.col("node")))
+    step = 1
+    while step < bands:
+        a, b = (nodes.select("image_id", F.col("node").alias(n), F.col("root").alias(f"_{n}")) for n in "ab")
+        now = seams.where((F.col("seam") % step == 0) & (F.expr(f"seam div {step}") % 2 == 1))
+        edges = now.join(a, ["image_id", "a"]).join(b, ["image_id", "b"]).groupBy("image_id", "seam").agg(
+            F.collect_list("_a").alias("_a"), F.collect_list("_b").alias("_b"))
+        moved = edges.select("image_id", F.explode(F.arrays_zip("_a", "_b", _edge_roots("_a", "_b").alias("to"))).alias("e")).select(
+            "image_id", F.explode(F.array("e._a", "e._b")).alias("root"), F.col("e.to").alias("to")).distinct()
+        nodes = cut_lineage(nodes.join(moved, ["image_id", "root"], "left").select(
+            "image_id", "node", F.coalesce("to", "root").alias("root")))
+        step *= 2
+    return nodes
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _edge_roots(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Smallest label of the component that each edge is part of."""
+    out = []
+    for x, y in zip(a, b):
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        out.append(nodes[_roots(len(nodes), at[:len(x)], at[len(x):])[at[:len(x)]]])
+    return pd.Series(out)
 
 
 LABEL = ["image_id", "ly", "lx"]

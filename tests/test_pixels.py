@@ -94,6 +94,20 @@ def test_components(spark, connectivity, band):
     assert len(blobs) == 1 and blobs[0]["area"] == int((spiral > 45).sum())
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_seams_of_bands_of_one_row(spark, connectivity):
+    """A checkerboard in bands of one row: no run touches another by its sides, all do by their corners."""
+    board = (np.indices((37, 24)).sum(0) % 2) * 100.0
+    comb = np.zeros((37, 24))
+    comb[:, ::4] = comb[36, :] = comb[18, 8:] = 100
+    px = frame(spark, [board, comb, np.zeros((37, 24))]).where(F.col("v") > 45)
+    runs = K.label_runs(K.mask_runs(px), connectivity, 37, 1)
+    got = grid(K.run_pixels(runs).withColumn("l", F.col("ly") * 24 + F.col("lx")), "l", 3, board.shape)
+    for i, a in enumerate([board, comb]):
+        assert (np.nan_to_num(got[i], nan=-1) == flood(a > 45, connectivity == 8)).all()
+    assert runs.where("image_id = 0").select("ly", "lx").distinct().count() == (1 if connectivity == 8 else board.astype(bool).sum())
+
+
 def resized(a, size):
     h = a.shape[0]
     s = h / size
