@@ -42,6 +42,21 @@ def uploadable(path: Column) -> Column:
     return extension(path).isin(P.UPLOAD_EXTENSIONS)
 
 
+# How a camera writes the orientation of a photo (tag 0x0112, one short) in either byte order.
+_TAG_HEADER = "(?:457869660000|65584966)"
+_ORIENTATION_BIG = "4D4D002A(?:..){4,4000}?011200030000000100(0[1-8])"
+_ORIENTATION_LITTLE = "49492A00(?:..){4,4000}?1201030001000000(0[1-8])00"
+TAG_BYTES = 65_536
+
+
+def exif_orientation(content: Column) -> Column:
+    """Orientation 1 to 8 from the first bytes of a JPEG or PNG file; 1 where there is none."""
+    head = F.hex(F.substring(content, 1, TAG_BYTES))
+    pattern = f"^(?:..)*?{_TAG_HEADER}(?:{_ORIENTATION_BIG}|{_ORIENTATION_LITTLE})"
+    found = F.concat(F.regexp_extract(head, pattern, 1), F.regexp_extract(head, pattern, 2))
+    return F.coalesce(found.try_cast("int"), F.lit(1))
+
+
 def base_feature(name: Column) -> Column:
     """Feature name without its view suffix."""
     return F.regexp_replace(name, "_viewmean|_viewmax", "")

@@ -27,10 +27,10 @@ _LINEAR = np.where(_BYTE <= 0.04045, _BYTE / 12.92, ((_BYTE + 0.055) / 1.055) **
 
 
 def frame_rows(photos: DataFrame) -> DataFrame:
-    """Packed frames of decoded photos (..., h, w, channels, data)."""
-    from rasterlab.sources.images import _packed
+    """Packed upright frames of decoded photos (..., h, w, channels, data[, orientation])."""
+    from rasterlab.sources.images import packed_rgb
 
-    return photos.withColumn("rgb", _packed("data", "channels")).drop("data", "channels")
+    return photos.withColumn("rgb", packed_rgb(photos)).drop("data", "channels", "orientation")
 
 
 def border(v: np.ndarray, frac: float = P.BORDER_FRAC) -> tuple[float, float]:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rasterlab.functions import rules as R
+from rasterlab.functions.scalar import exif_orientation
 from rasterlab.operators import audit as A, metrics as M, quality as Q, scans as T
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.metric_queries import CELLS, FOLD5, RATES, _fold_scored
@@ -115,6 +116,29 @@ def decoded_pixels(spark, d):
     return I.pixels(photos).select("image_id", "y", "x", "r", "g", "b")
 
 
+def turn_sql(o, x, y, w, h):
+    """Upright (x, y) of a stored pixel."""
+    return (f"CASE WHEN {o} IN (2, 3) THEN {w} - 1 - {x} WHEN {o} IN (5, 8) THEN {y} WHEN {o} IN (6, 7) THEN {h} - 1 - {y} ELSE {x} END AS x",
+            f"CASE WHEN {o} IN (3, 4) THEN {h} - 1 - {y} WHEN {o} IN (5, 6) THEN {x} WHEN {o} IN (7, 8) THEN {w} - 1 - {x} ELSE {y} END AS y")
+
+
+@query("upright_pixels", f"""
+  SELECT vec_id AS image_id, CASE WHEN label % 9 >= 5 THEN 16 ELSE 4 END AS h, CASE WHEN label % 9 >= 5 THEN 4 ELSE 16 END AS w,
+         {', '.join(turn_sql('label % 9', 'pos % 16', 'pos // 16', 16, 4))}, floor(abs(embedding[pos + 1]::double * 1000))::int % 256 AS r
+  FROM embeddings, (SELECT unnest(range(0, 64))::int AS pos)""")
+def upright_pixels(spark, d):
+    """Frames of 16 x 4 whose files carry the camera's orientation (none, or in either byte order), read upright."""
+    gray = F.transform("embedding", lambda v, i: F.lpad(F.hex((F.floor(F.abs(v.cast("double") * 1000)) % 256).cast("bigint")), 2, "0"))
+    o = F.lpad((F.col("label") % 9).cast("string"), 2, "0")
+    big = F.concat(F.lit("FFD8FFE100004578696600004D4D002A00000008000101120003"), F.lit("0000000100"), o, F.lit("0000"))
+    little = F.concat(F.lit("FFD8FFE1000045786966000049492A00080000000100120103000100"), F.lit("0000"), o, F.lit("000000"))
+    content = F.unhex(F.when(o == "00", "FFD8FFE000104A46494600").when(F.col("vec_id") % 2 == 0, big).otherwise(little))
+    photos = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("image_id"), F.lit(4).alias("h"), F.lit(16).alias("w"), F.lit(1).alias("channels"),
+        F.unhex(F.array_join(gray, "")).alias("data"), exif_orientation(content).alias("orientation"))
+    return I.pixels(I.upright_size(photos)).select("image_id", "h", "w", "x", "y", "r")
+
+
 @query("photo_paths", """
   SELECT source AS code, lang AS light, min(name) AS name, count(*) AS candidates FROM (
     SELECT source, CASE WHEN lang = 'en' THEN 'UV' ELSE 'visible_light' END AS lang, lpad(doc_id::varchar, 9, '0') || '.png' AS name FROM documents)

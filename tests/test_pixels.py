@@ -1,5 +1,7 @@
 """Raster operators against numpy, and photos end to end."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import write_png
 from rasterlab import params as P
 from rasterlab.functions import colour as C
-from rasterlab.operators import components as K, pixel_features as V, quality as Q, raster as R, subject as S
+from rasterlab.operators import components as K, packed, pixel_features as V, quality as Q, raster as R, scans as T, subject as S
 from rasterlab.sources import images as I
 
 
@@ -169,6 +171,37 @@ def test_decoded_pixels(spark, folder):
     assert (rows[["r", "g", "b"]].to_numpy() == img.reshape(-1, 3)).all()
 
 
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_photos_from_a_turned_camera(spark, tmp_path, order):
+    """PNG files with an orientation tag are read upright, broken files are reported, others stay as they are."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    for o in range(0, 9):
+        path = tmp_path / f"S{o:03d}/UV/a.png"
+        write_png(path, a)
+        if o:
+            head = b"II*\0" if order == "little" else b"MM\0*"
+            tiff = head + b"".join(n.to_bytes(s, order) for n, s in [
+                (8, 4), (2, 2), (0x0100, 2), (4, 2), (1, 4), (7, 4), (0x0112, 2), (3, 2), (1, 4), (o, 2), (0, 2), (0, 4)])
+            chunk = len(tiff).to_bytes(4, "big") + b"eXIf" + tiff + zlib.crc32(b"eXIf" + tiff).to_bytes(4, "big")
+            raw = path.read_bytes()
+            path.write_bytes(raw[:33] + chunk + raw[33:])
+    (tmp_path / "S009/UV").mkdir(parents=True)
+    (tmp_path / "S009/UV/a.png").write_bytes(b"no picture")
+    photos = I.read_photos(spark, str(tmp_path)).cache()
+    assert {r["code"]: r["orientation"] for r in photos.collect()} == {f"S{o:03d}": o or 1 for o in range(9)}
+    turned = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.transpose(1, 0, 2), 6: np.rot90(a, -1),
+              7: a[::-1, ::-1].transpose(1, 0, 2), 8: np.rot90(a)}
+    got = {k: v.sort_values(["y", "x"]) for k, v in I.pixels(photos).toPandas().groupby("image_id")}
+    for o in range(9):
+        px, want = got[f"S{o:03d}/UV"], turned[o or 1]
+        assert (px["h"].iloc[0], px["w"].iloc[0]) == want.shape[:2] and (px[["r", "g", "b"]].to_numpy() == want.reshape(-1, 3)).all()
+    rows = {r["code"]: r["rgb"] for r in packed.frame_rows(photos).collect()}
+    assert rows["S006"][1] == int.from_bytes(bytes(turned[6].reshape(-1, 3)[1]), "big")
+    report = T.ingest_report(I.photo_outcomes(spark, str(tmp_path))).collect()
+    assert {(r["outcome"], r["n"], r["saved"]) for r in report} == {("ok", 9, 9), ("unreadable", 1, 0)}
+
+
 def test_photo_to_features(spark, folder):
     """Find the subject, normalise it, and find its dots again."""
     photos = I.read_photos(spark, folder).where("light = 'UV'")
