@@ -1,5 +1,6 @@
 """Folds, out-of-fold averages and the bootstrap, all from one hash."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterlab import params as P
@@ -52,6 +53,11 @@ def oof_average(scored: DataFrame, id_: str, score: str = "score", keep=()) -> D
 CELLS = ["tn", "fp", "fn", "tp"]
 
 
+def _cell_sizes(df: DataFrame, y: Column, pred: Column) -> list[int]:
+    c = df.groupBy().agg(*[F.count_if((y == a) & (pred == b)).alias(n) for n, (a, b) in zip(CELLS, [(0, 0), (0, 1), (1, 0), (1, 1)])])
+    return list(c.first())
+
+
 def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int) -> DataFrame:
     """(replicate, tn, fp, fn, tp) of ``replicates`` resamples with return.
 
@@ -61,11 +67,7 @@ def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int) ->
     draws are a range that tasks count before anything is shuffled. An empty
     table has no replicates.
     """
-    c = df.groupBy().agg(F.count_if((y == 0) & (pred == 0)).alias("tn"),
-                         F.count_if((y == 0) & (pred == 1)).alias("fp"),
-                         F.count_if((y == 1) & (pred == 0)).alias("fn"),
-                         F.count_if((y == 1) & (pred == 1)).alias("tp")).first()
-    sizes = [c[k] for k in CELLS]
+    sizes = _cell_sizes(df, y, pred)
     n = sum(sizes)
     draws = df.sparkSession.range(replicates * n).select(
         F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("i"))
@@ -77,6 +79,48 @@ def bootstrap_counts(df: DataFrame, y: Column, pred: Column, replicates: int) ->
     return draws.select("replicate", idx.alias("idx")).groupBy("replicate").agg(*aggs)
 
 
+def bootstrap_cells(df: DataFrame, y: Column, pred: Column, replicates: int) -> DataFrame:
+    """(replicate, tn, fp, fn, tp) of ``replicates`` resamples with return, without drawing rows.
+
+    The four counts of a resample are multinomial, so they are drawn as such: each count is binomial given the ones
+    before it, and is the quantile of that binomial at a uniform number hashed from (replicate, cell). The law is the
+    same at every size; the work of a replicate grows with the square root of the rows. An empty table has no
+    replicates.
+    """
+    sizes = _cell_sizes(df, y, pred)
+    n = sum(sizes)
+    uniforms = [((hash32(F.col("replicate"), F.lit(f"{c}a")) * 2 ** 20 + F.shiftright(hash32(F.col("replicate"), F.lit(f"{c}b")), 12)
+                  + 0.5) / float(2 ** 52)).alias(c) for c in CELLS[:-1]]
+    draws = df.sparkSession.range(replicates if n else 0).select(F.col("id").alias("replicate"), *uniforms)
+
+    def cells(batches):
+        for pdf in batches:
+            left, rest = np.full(len(pdf), n, np.int64), n
+            for name, size in zip(CELLS[:-1], sizes):
+                drawn = binomial_quantile(pdf[name].to_numpy(), left, size / rest if rest else 0.0)
+                pdf[name], left, rest = drawn, left - drawn, rest - size
+            yield pdf.assign(tp=left)
+    return draws.mapInPandas(cells, "replicate bigint, tn bigint, fp bigint, fn bigint, tp bigint")
+
+
+def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Smallest k with P(Binomial(n, p) <= k) >= u, elementwise over ``u`` and ``n``.
+
+    Sums run over 12 standard deviations and 40 steps around the mean, beyond which less than 1e-30 lies.
+    """
+    if p <= 0 or p >= 1:
+        return n * int(p >= 1)
+    out = np.empty(len(n), np.int64)
+    for m in np.unique(n):
+        reach = 12 * np.sqrt(m * p * (1 - p)) + 40
+        k = np.arange(max(0, int(m * p - reach)), min(m, int(m * p + reach)) + 1)
+        log = np.concatenate([[0.0], np.cumsum(np.log((m - k[:-1]) / (k[:-1] + 1) * (p / (1 - p))))])
+        below = np.cumsum(np.exp(log - log.max()))
+        mine = n == m
+        out[mine] = k[np.searchsorted(below / below[-1], u[mine], "left")]
+    return out
+
+
 def bootstrap_interval(counts: DataFrame, metrics=("kappa", "accuracy", "specificity", "recall"),
                        bar=P.PASS_BAR) -> DataFrame:
     """Mean, 95 % interval and share at or above the bar, per metric.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rasterlab import params as P
 from rasterlab.functions import scalar as S
 from rasterlab.functions.hashing import hash32
-from rasterlab.operators import audit as A, metrics as M, paired as C, resample as B
+from rasterlab.operators import audit as A, metrics as M, ml as L, paired as C, resample as B
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd, table
 
@@ -149,6 +149,16 @@ def group_means(spark, d):
     return j.groupBy(g.alias("grp")).agg(F.round(F.avg("n_chars"), 6).alias("n_chars"))
 
 
+@query("resolved_features", f"""
+  SELECT feature, {rnd('avg(value)')} AS mean, feature IN ('f05', 'f01') AS chosen FROM {LONG} GROUP BY 1""")
+def resolved_features(spark, d):
+    """Means of all feature columns, and which of them a selected list resolves to."""
+    wide, _ = X.wide_features(spark, d)
+    cols, chosen = L.resolve_features(wide), L.resolve_features(wide, ["f05", "f01"])
+    means = wide.agg(*[F.avg(c).alias(c) for c in cols]).unpivot([], cols, "feature", "mean")
+    return _round(means.withColumn("chosen", F.col("feature").isin(chosen)), "mean")
+
+
 @query("feature_ranges", f"""
   SELECT feature, min(value) AS min, max(value) AS max, {rnd('quantile_cont(value, 0.05)', 9)} AS p05,
          {rnd('quantile_cont(value, 0.95)', 9)} AS p95
@@ -409,6 +419,41 @@ def bootstrap_ci(spark, d):
     return _round(B.bootstrap_interval(c), "point", "ci_lo", "ci_hi", "p_above_bar")
 
 
+def _binomial_step(i, cell, before, size, rest):
+    """Counts of one cell for every replicate: the quantile of a binomial at the replicate's uniform number."""
+    u = f"({h32(f"replicate || ':{cell}a'")} * 1048576 + {h32(f"replicate || ':{cell}b'")} // 4096 + 0.5) / 4503599627370496.0"
+    keep = "".join(f", {c}" for c in ("tn", "fp", "fn")[:i])
+    return f"""
+  k{i} AS (SELECT n, p, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT n, ({size})::double / nullif({rest}, 0) AS p FROM {before}, c)),
+  q{i} AS (SELECT n, k, sum(CASE WHEN coalesce(p, 0) = 0 THEN (k = 0)::int WHEN p = 1 THEN (k = n)::int ELSE exp(
+             lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) END) OVER (PARTITION BY n ORDER BY k) AS cdf FROM k{i}),
+  d{i} AS (SELECT replicate{keep}, n - {cell} AS n, {cell} FROM (
+    SELECT b.replicate{keep}, b.n, min(q.k) AS {cell} FROM (SELECT *, {u} AS u FROM {before}) b JOIN q{i} q ON q.n = b.n AND q.cdf >= b.u GROUP BY ALL))"""
+
+
+BOOT_CELLS = f"""WITH c AS (SELECT {CELLS.format(y='y', p='(score >= 0.5)::int')}, count(*) AS total FROM {SCO}),
+  d AS (SELECT unnest(range(0, 4000)) AS replicate, total AS n FROM c), {_binomial_step(0, 'tn', 'd', 'c.tn', 'c.total')},
+  {_binomial_step(1, 'fp', 'd0', 'c.fp', 'c.total - c.tn')}, {_binomial_step(2, 'fn', 'd1', 'c.fn', 'c.total - c.tn - c.fp')},
+  r AS (SELECT replicate, tn, fp, fn, n AS tp FROM d2)"""
+
+
+@query("bootstrap_cells", f"{BOOT_CELLS} SELECT replicate, tn, fp, fn, tp FROM r")
+def bootstrap_cells(spark, d):
+    """4,000 replicates."""
+    return B.bootstrap_cells(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 4000)
+
+
+@query("bootstrap_cells_ci", f"""{BOOT_CELLS},
+  m AS (SELECT {RATES} FROM r WHERE tn + fp > 0 AND fn + tp > 0),
+  l AS (SELECT unnest(['kappa', 'accuracy', 'specificity', 'recall']) AS metric,
+          unnest([kappa, accuracy, specificity, recall]) AS v, unnest([0.61, 0.8, NULL, 0.8]) AS bar FROM m)
+  SELECT metric, {rnd('avg(v)')} AS point, {rnd('quantile_cont(v, 0.025)')} AS ci_lo, {rnd('quantile_cont(v, 0.975)')} AS ci_hi,
+         {rnd('avg(CASE WHEN bar IS NOT NULL THEN (v >= bar)::int END)')} AS p_above_bar FROM l GROUP BY 1""")
+def bootstrap_cells_ci(spark, d):
+    c = B.bootstrap_cells(X.scored(spark, d), F.col("y"), (F.col("score") >= 0.5).cast("int"), 4000)
+    return _round(B.bootstrap_interval(c), "point", "ci_lo", "ci_hi", "p_above_bar")
+
+
 # --- paired comparison --------------------------------------------------------
 
 # Two methods over the same folds: the score, and an unrelated hash score.

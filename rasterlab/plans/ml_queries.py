@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rasterlab import params as P
-from rasterlab.operators import fold_fits as FF, fold_trees as FT, metrics as M, ml as L, paired as C
+from rasterlab.operators import fold_fits as FF, fold_trees as FT, metrics as M, ml as L, paired as C, variants as V
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.registry import query, rnd, table
 from rasterlab.session import cut_lineage
@@ -207,3 +207,29 @@ def knn(spark, d):
 @query("knn_cv")
 def knn_cv(spark, d):
     return _table(spark, d, ("5 nearest", L.nearest()), ("7 by distance", L.nearest(7, True)))
+
+
+@query("knn_cv_scores", f"""
+  WITH folds AS {FOLDS.format(repeats=1)}, t AS {TRAINED},
+  s AS (SELECT fold, list(sd ORDER BY pos) AS sd FROM (SELECT fold, pos, stddev_samp(e) AS sd FROM (
+        SELECT fold, unnest(v) AS e, generate_subscripts(v, 1) AS pos FROM t) GROUP BY 1, 2) GROUP BY 1),
+  a AS (SELECT f.id, f.y, f.own AS fold, list_transform(list_zip(f.v, s.sd), lambda z: z[1] / z[2]) AS v FROM folds f JOIN s ON s.fold = f.own),
+  b AS (SELECT t.id, t.y, t.fold, list_transform(list_zip(t.v, s.sd), lambda z: z[1] / z[2]) AS v FROM t JOIN s ON s.fold = t.fold),
+  p AS (SELECT a.id, a.fold, a.y AS own_y, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round(pow(list_distance(a.v, b.v), 2), 9), b.id) AS rn
+        FROM a JOIN b ON a.fold = b.fold)
+  SELECT 0 AS repeat, fold, id, own_y AS y, {rnd('avg(y)')} AS score FROM p WHERE rn <= 5 GROUP BY fold, id, own_y""")
+def knn_cv_scores(spark, d):
+    """Nearest neighbours through the harness: columns scaled inside each of five folds."""
+    scored = L.evaluate(_data(spark, d), [L.Method("5 nearest", L.nearest())], repeats=1)
+    return scored.select("repeat", "fold", "id", "y", F.round("score", 6).alias("score"))
+
+
+@query("variant_finalists")
+def variant_finalists(spark, d):
+    """Variants of two estimators by weight and cut in one repeat of five folds; the three best again on unused seeds, beside the plain one."""
+    methods = V.crossed(["logistic", "naive bayes"], ["", "balanced"], cuts=["", "cut 0.6"])
+    rows = _data(spark, d)
+    best = V.finalists(methods, L.compared(cut_lineage(L.evaluate(rows, methods, repeats=1))), 3)
+    again = [methods[0], *[m for m in best if m.name != methods[0].name]]
+    scored = L.evaluate(rows, again, repeats=1, seed=P.SEED + P.HOLDOUT_SEED_OFFSET)
+    return C.paired_delta(M.fold_metrics(scored, ["name", "repeat", "fold"], with_auc=False), methods[0].name)

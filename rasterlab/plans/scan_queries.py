@@ -93,6 +93,18 @@ def scan_filter_counts(spark, d):
     return T.queue_counts(T.with_crop(X.scans(spark, d)), ["crop"])
 
 
+@query("scan_exact_counts", f"""
+  SELECT 'all' AS name, count(*) AS n FROM {SC} UNION ALL SELECT 'public', count(*) FROM {SC} WHERE dataset = 'public' UNION ALL
+  SELECT 'no crop', count(*) FROM {SC} WHERE crop IS NULL UNION ALL
+  SELECT 'positive garlic', count(*) FROM {SC} WHERE crop = 'garlic' AND compactdry_truth = 1""")
+def scan_exact_counts(spark, d):
+    """Counts under filters; only the counts leave the cluster."""
+    s = X.scans(spark, d)
+    filters = {"all": {}, "public": {"dataset": "public"}, "no crop": {"crop": None},
+               "positive garlic": {"crop": "garlic", "compactdry_truth": 1}}
+    return spark.createDataFrame([(name, T.count(s, f)) for name, f in filters.items()], "name string, n bigint")
+
+
 @query("label_queue", f"""
   SELECT id, sample_code FROM {SC}
   WHERE contains(lower(sample_code), 's0000001') AND coalesce(crop, 'onion') = 'onion' AND compactdry_truth IS NULL""")
