@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from rasterlab import params as P
 from rasterlab.functions.hashing import hash32
 from rasterlab.operators.ordered import quantiles
-from rasterlab.session import cut_lineage
+from rasterlab.session import broadcast_if_small, cut_lineage
 
 
 def null_cells(df: DataFrame) -> Column:
@@ -52,12 +52,15 @@ def long_form(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
 
 
 def robust_scale(long: DataFrame, keys=("feature",), value="value", **kw) -> DataFrame:
-    """(keys, med, robust_sd): median and scaled MAD, two exact passes."""
+    """(keys, med, robust_sd): median and scaled MAD, two exact passes.
+
+    A row per key is broadcast when the stored medians show that there are few.
+    """
     keys = list(keys)
-    med = cut_lineage(quantiles(long, keys, value, {"med": 0.5}, **kw))  # a row per feature
-    dev = long.join(F.broadcast(med), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
+    med = cut_lineage(quantiles(long, keys, value, {"med": 0.5}, **kw))
+    dev = long.join(broadcast_if_small(med), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
     mad = quantiles(dev, keys, "_dev", {"mad": 0.5}, **kw)
-    return med.join(F.broadcast(mad), keys).select(
+    return med.join(mad, keys).select(
         *keys, "med", (F.col("mad") * P.MAD_SCALE).alias("robust_sd"))
 
 

@@ -136,9 +136,10 @@ def view_aggregates(views: DataFrame, head: str, features: list[str], plain: boo
 
 
 def single_or_pair(views: DataFrame, head: str, features: list[str], n_views: int) -> DataFrame:
-    """Training naming: plain names for one view, a mean/max pair for more."""
+    """Training naming: plain names for one view, a mean/max pair for more. A head is one row either way; further
+    photos of a head with one view are averaged, as scoring does."""
     if n_views == 1:
-        return views.select(head, *[F.col(f).cast("double").alias(f) for f in features])
+        return views.groupBy(head).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])
     return view_aggregates(views, head, features)
 
 

@@ -130,9 +130,13 @@ def opened(df: DataFrame, mask: str, k: int) -> DataFrame:
     return _square(_square(df, mask, k // 2, "xy", False), mask, k // 2, "yx", True)
 
 
+# The share of the shorter side that a kernel spans, and the smallest kernel.
+KERNEL_SHARE, KERNEL_MIN = 0.012, 3
+
+
 def kernel_scale(h: int, w: int) -> int:
-    """Kernel size that follows the frame: odd and at least 3."""
-    return max(3, int(round(min(h, w) * 0.012)) | 1)
+    """Kernel size that follows the frame, always odd."""
+    return max(KERNEL_MIN, int(round(min(h, w) * KERNEL_SHARE)) | 1)
 
 
 def dilated_cross(df: DataFrame, mask: str, n: int, out: str) -> DataFrame:

@@ -80,3 +80,9 @@ def test_warnings(photos):
     px, found = photos
     got = {r["image_id"]: list(r["warnings"]) for r in H.warnings(px, found, 60).collect()}
     assert got["S001/UV"] == [] and got["S003/UV"] == ["not_found"]
+
+
+def test_one_row_per_head_with_several_photos(spark):
+    views = spark.createDataFrame([("S1", 1.0, 4), ("S1", 3.0, 6), ("S2", 5.0, None)], "code string, a double, b int")
+    rows = {r["code"]: (r["a"], r["b"]) for r in H.Q.single_or_pair(views, "code", ["a", "b"], 1).collect()}
+    assert rows == {"S1": (2.0, 5.0), "S2": (5.0, None)}
